@@ -70,9 +70,15 @@ class WordHash(dict):
 _shared_hash = WordHash()
 
 
+def lowered(text: str) -> str:
+    """Lower case, character for character: the offsets of the text hold in the result."""
+    t = text.lower()
+    return t if len(t) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the lower-cased words (runs of letters, digits, underscore) of a text."""
-    return _shared_hash.array(WORD.findall(text.lower()))
+    return _shared_hash.array(WORD.findall(lowered(text)))
 
 
 def coefficients(n: int, base: int = 0x9E3779B97F4A7C15) -> list[int]:
@@ -98,6 +104,35 @@ def window_hash(w: np.ndarray, n: int, at: np.ndarray | None = None, base: int =
     return out
 
 
+_power = np.ones(1, U64), np.ones(1, U64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE**i and its inverse, modulo 2**64, for i up to n at least."""
+    global _power
+    if len(_power[0]) <= n:
+        size = max(4096, 1 << (n + 1).bit_length())
+        with np.errstate(over="ignore"):
+            _power = tuple(np.r_[U64(1), np.full(size - 1, b, U64)].cumprod(dtype=U64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _power
+
+
+def prefix_hash(w: np.ndarray) -> np.ndarray:
+    """p[i] = sum of w[t] * _BASE**t over t < i, for i = 0..len(w)."""
+    up, _ = powers(len(w))
+    return np.r_[U64(0), (w * up[: len(w)]).cumsum(dtype=U64)]
+
+
+def windows(prefix: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Mixed hashes of the windows of n words, from prefix_hash: equal words, equal hash, at any position."""
+    _, down = powers(len(prefix))
+    if at is None:
+        m = len(prefix) - n
+        return mix((prefix[n:] - prefix[:m]) * down[:m]) if m > 0 else np.zeros(0, U64)
+    return mix((prefix[at + n] - prefix[at]) * down[at])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every output bit depends on every input bit."""
     h = h ^ (h >> U64(33))

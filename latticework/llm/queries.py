@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import op6_syncmers, op8_jaccard
+from . import op3_substring, op5_mixing, op6_syncmers, op8_jaccard, op9_bpe
 from .common import scan
 
 QUERIES = {
+    "op3_substring_dedup": lambda spark, d: op3_substring.repeated_passages(scan(d, "documents", spark)),
+    "op5_mixing": lambda spark, d: op5_mixing.mixed(scan(d, "documents", spark)),
     "op6_syncmers": lambda spark, d: op6_syncmers.fingerprints(scan(d, "documents", spark)),
     "op8_jaccard_join": lambda spark, d: op8_jaccard.jaccard_pairs(scan(d, "documents", spark)),
+    "op9_bpe": lambda spark, d: op9_bpe.encoded(scan(d, "documents", spark)),
 }
 
 SQL = {
+    "op3_substring_dedup": op3_substring.oracle(),
+    "op5_mixing": op5_mixing.oracle(),
     "op6_syncmers": op6_syncmers.oracle(),
     "op8_jaccard_join": op8_jaccard.oracle(),
 }

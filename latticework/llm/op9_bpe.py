@@ -19,6 +19,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -30,16 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import MASK64, arrow_map
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: No vocabulary of more bytes than this is broadcast.
 LARGEST_VOCABULARY = 64_000_000
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: No pre-token crosses the border of these pieces.
-PIECE = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
-MEMO = 300_000
-MASK32 = 0xFFFFFFFF
+_WS = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))  # the pattern's \s
+PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+MEMO = 400_000
+K1, K2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 class PerfectHash:
@@ -51,7 +53,6 @@ class PerfectHash:
         hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
         if len(set(hashes.tolist())) != n:
             raise ValueError("repeated keys")
-        h1, h2 = hashes >> np.uint64(32), (hashes & np.uint64(MASK32)) | np.uint64(1)
         bucket = (hashes % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         starts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
@@ -66,7 +67,7 @@ class PerfectHash:
             base = 0
             while True:
                 d = np.arange(base, base + 64, dtype=np.uint64)[:, None]
-                at = ((h1[m] + d * h2[m]) % np.uint64(n)).astype(np.int64)
+                at = ((((hashes[m] ^ (d * np.uint64(K1))) * np.uint64(K2)) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
                 s = np.sort(at, axis=1)
                 good = np.flatnonzero(~taken[at].any(axis=1) & (s[:, 1:] != s[:, :-1]).all(axis=1))
                 if len(good):
@@ -90,7 +91,7 @@ class PerfectHash:
     def get(self, key: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(key)
         d = self.shift[h % self.buckets]
-        at = ((h >> 32) + d * ((h & MASK32) | 1)) % self.n if d >= 0 else -1 - d
+        at = (((h ^ (d * K1 & MASK64)) * K2 & MASK64) >> 32) % self.n if d >= 0 else -1 - d
         return self.index[at] if self.key[at] == key else -1
 
 
@@ -104,7 +105,6 @@ class Tokenizer:
         self.ids = [ranks[k] for k in keys]
         self.bytes = {i: k for k, i in ranks.items()}
         self.pieces = _Memo(self._piece)
-        self.tokens = _Memo(self._token)
 
     def __reduce__(self):
         return Tokenizer._thaw, (self.ranks, self.hash)
@@ -114,7 +114,7 @@ class Tokenizer:
         out = Tokenizer.__new__(Tokenizer)
         out.ranks, out.hash, out.ids = ranks, table, list(ranks.values())
         out.bytes = {i: k for k, i in ranks.items()}
-        out.pieces, out.tokens = _Memo(out._piece), _Memo(out._token)
+        out.pieces = _Memo(out._piece)
         return out
 
     def merge(self, piece: bytes) -> list[int]:
@@ -148,14 +148,19 @@ class Tokenizer:
             i = end[i]
         return out
 
-    def _token(self, token: str) -> tuple[int, ...]:
-        raw = token.encode()
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        body = piece[1:] if piece[0] == " " else piece
+        if not body.isalpha():
+            if body[:-1].isalpha() and not body[-1].isnumeric() and body[-1] != " ":
+                tokens = [piece[:-1], piece[-1]]
+            else:
+                tokens = PRETOKEN.findall(piece)
+            if len(tokens) > 1:
+                return tuple(chain.from_iterable(map(self.pieces.__getitem__, tokens)))
+        raw = piece.encode()
         at = self.hash.get(raw)
         return (self.ids[at],) if at >= 0 else tuple(self.merge(raw))
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.tokens.__getitem__, PRETOKEN.findall(piece))))
-
     def encode(self, text: str) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, PIECE.findall(text))), np.int32)
 
@@ -200,11 +205,9 @@ def _encoder(shared):
                 sizes.append(None if text is None else len(raw))
                 exact.append(None if text is None else t.decode(x.tolist()) == raw)
             count = np.array([len(p) for p in parts], np.int32)
-            mask = pa.array(null)
             offsets = pa.array(np.r_[0, count.cumsum()].astype(np.int32), mask=np.r_[np.array(null, bool), False])
             lists = pa.ListArray.from_arrays(offsets, np.concatenate(parts) if parts else np.zeros(0, np.int32))
             counts = pa.array(count, mask=np.array(null, bool)) if len(count) else pa.array([], pa.int32())
-            del mask
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), counts, lists, pa.array(exact, pa.bool_())], schema=schema)
 
     return run

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op3_substring, op5_mixing, op6_syncmers, op8_jaccard, op9_bpe
+from . import op3_substring, op4_language, op5_mixing, op6_syncmers, op8_jaccard, op9_bpe
 from .common import scan
 
 QUERIES = {
     "op3_substring_dedup": lambda spark, d: op3_substring.repeated_passages(scan(d, "documents", spark)),
+    "op4_language_id": lambda spark, d: op4_language.languages(scan(d, "documents", spark)),
     "op5_mixing": lambda spark, d: op5_mixing.mixed(scan(d, "documents", spark)),
     "op6_syncmers": lambda spark, d: op6_syncmers.fingerprints(scan(d, "documents", spark)),
     "op8_jaccard_join": lambda spark, d: op8_jaccard.jaccard_pairs(scan(d, "documents", spark)),

@@ -1,12 +1,13 @@
-"""Makes this package importable in Python workers wherever the driver runs from."""
+"""What every operator needs of the cluster: workers that find this package, and tables that outlive executors."""
 
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -27,3 +28,23 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(_ROOT))
     spark.sparkContext.addPyFile(str(at))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder all executors can reach: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if at:
+        return at.rstrip("/")
+    import tempfile
+
+    made = "file://" + tempfile.mkdtemp(prefix="latticework-")
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there, executors may be lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -80,7 +80,9 @@ def secrets(text: str) -> list[tuple[int, int, str, int, float]]:
         known = KNOWN.match(word)
         if not (named or known):
             continue
-        around = (text[max(0, a - AROUND) : a] + " " + text[e : e + AROUND]).replace(word, " ")
+        around = text[max(0, a - AROUND) : a] + " " + text[e : e + AROUND]
+        if word in around:  # whole copies don't make a secret known; a longer name that holds it does
+            around = re.sub(rf"(?<![A-Za-z0-9+/_\-~]){re.escape(word)}(?![A-Za-z0-9+/_\-~])", " ", around)
         n = novel_bytes(word, around)
         if n >= MIN_NOVELTY * (e - a):
             out.append((a, e, (named or known).group().lower(), n, round(n / (e - a), 4)))

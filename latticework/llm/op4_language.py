@@ -73,7 +73,7 @@ class Model:
                 for i in range(len(w) - 2):
                     counts.setdefault(w[i : i + 3], [0] * len(place))[place[lang]] += n
         self.index = {t: i + 1 for i, t in enumerate(counts)}
-        table = np.array([np.zeros(len(place)), *counts.values()]).reshape(-1, len(place)) + 0.2
+        table = np.array([np.zeros(len(place)), *counts.values()]).reshape(len(counts) + 1, len(place)) + 0.2
         logs = np.log(table / table.sum(axis=0)) if len(place) else table
         self.logs = (logs - logs.mean(axis=1, keepdims=True) if len(place) else logs).astype(np.float32)
         self.logs[0] = 0
@@ -164,11 +164,13 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 
 def labels(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """As viterbi; texts whose best constant label is provably optimal skip the dynamic program."""
-    used = np.flatnonzero((scores > 0).any(axis=0))  # a label that no word favours is in no best path
-    if len(used) < 2:
-        return np.full(len(scores), used[0] if len(used) else scores.sum(axis=0).argmax(), np.int32)
-    scores = scores[:, used]
     top = int(scores.sum(axis=0, dtype=np.float64).argmax())
+    better = (scores > scores[:, top : top + 1]).any(axis=0)
+    better[top] = True
+    used = np.flatnonzero(better)  # a label that the best constant one never falls behind is in no better path
+    if len(used) < 2:
+        return np.full(len(scores), top, np.int32)
+    scores, top = scores[:, used], int(np.searchsorted(used, top))
     gain = np.cumsum(scores - scores[:, top : top + 1], axis=0, dtype=np.float64)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, gain.shape[1])), gain[:-1]]), axis=0)
     if (gain - low).max() <= penalty / 2:

@@ -76,6 +76,7 @@ class Lines(HTMLParser):
             self.cut()
 
     def handle_endtag(self, tag):
+        self.tags += 1
         if tag in BLOCKS:
             self.cut()
         if tag in SKIPPED:
@@ -86,7 +87,6 @@ class Lines(HTMLParser):
             self.heading = False
         if tag in BOILERPLATE:
             self.aside = max(0, self.aside - 1)
-        self.tags += 1
 
     def handle_data(self, data):
         if self.skip:
@@ -132,7 +132,7 @@ def extract(html: str) -> tuple[str, int, int]:
     if not lines:
         return "", 0, 0
     ratio = np.array([0.0 if aside else (len(t) - min(k, len(t))) / max(1, g) for t, g, k, _, aside in lines])
-    dense = smoothed(np.log1p(ratio))
+    dense = np.round(smoothed(np.log1p(ratio)), 9)  # else equal lines part by rounding
     # the smoothed score of a line without text of its own stays low, whatever stands next to it
     score = np.minimum(dense, 2 * np.log1p(ratio))
     keep = score >= min(threshold(score), score.max())

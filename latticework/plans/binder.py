@@ -60,7 +60,7 @@ class Binder:
         if isinstance(node, Path):
             return self.find(node.name) or (None, "missing")
         if isinstance(node, Call):
-            return self.call(node), "bool"
+            return F.coalesce(self.call(node), _false()), "bool"
         v = node.value
         if isinstance(v, bool):
             return F.lit(v), "bool"

@@ -15,7 +15,7 @@ from .cluster import stored
 from .operators import diff, graph, mutate, resolve, rules, search, temporal
 from .plans.query import run
 from .sources import files as file_source
-from .sources import frameworks, python_source
+from .sources import brace_source, frameworks, python_source
 
 TABLES = ("units", "edges", "calls")
 ENTITY_COLUMNS = ["id", "kind", "name", "qualified_name", "path", "parent_module", "parent_class", "line", "exit_line", "docstring", "source", "content_hash"]
@@ -25,6 +25,11 @@ def _units_of(units: DataFrame, kind: str) -> DataFrame:
     return units.where(F.col("kind") == kind)
 
 
+def extract(files: DataFrame) -> DataFrame:
+    """Units of (path, text, language)."""
+    return python_source.extract(files.where("language = 'Python'")).unionByName(brace_source.extract(files))
+
+
 def resolve_units(units: DataFrame) -> dict[str, DataFrame]:
     """The resolution passes over units: imports, bases and orders, overrides, calls; and all edges they give."""
     modules, functions, classes = (_units_of(units, k) for k in ("module", "function", "class"))
@@ -66,9 +71,9 @@ class GraphCatalog:
 
     @classmethod
     def analyze(cls, spark: SparkSession, root: str, ignore: list[str] | None = None) -> GraphCatalog:
-        """Every source file below root: Python in depth, other languages by what their frameworks declare."""
+        """Every source file below root: Python by its syntax tree, brace languages by a lexer, all by what frameworks declare."""
         tree = stored(file_source.read_tree(spark, root, ignore), "files")
-        units = stored(python_source.extract(tree.where("language = 'Python'")), "units")
+        units = stored(extract(tree), "units")
         return cls.from_units(units, stored(frameworks.routes(tree), "routes"))
 
     @classmethod
@@ -193,5 +198,5 @@ class GraphCatalog:
     def updated(self, changed: DataFrame) -> GraphCatalog:
         """The catalogue after files (path, text) changed; a null text removes the file.  Resolution runs over all units again."""
         rest = diff.remove_files(self.units, changed)
-        fresh = python_source.extract(changed.where("text is not null"))
+        fresh = extract(file_source.with_language(changed.where("text is not null")))
         return GraphCatalog.from_units(stored(rest.unionByName(fresh), "units"))

@@ -12,12 +12,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.catalog import extract
 from latticework.cluster import shared_dir
 from latticework.operators.diff import unit_diff
 from latticework.operators.graph import first_by
 from latticework.schema import IGNORED_PARTS, LANGUAGES
-from latticework.sources.files import extension
-from latticework.sources.python_source import extract
+from latticework.sources.files import extension, with_language
 
 CHANGE = "path string, text string, ts timestamp"
 SUPPRESS_SECONDS = 5
@@ -82,7 +82,7 @@ class UnitStore:
         if batch_id in self._versions():
             return
         last = latest(changes)
-        fresh = extract(last.where("text is not null"))
+        fresh = extract(with_language(last.where("text is not null")))
         old = self.current()
         if old is None:
             new = fresh

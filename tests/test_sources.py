@@ -173,3 +173,33 @@ def test_languages_and_ignores(spark):
     assert {r.path: r.language for r in df.collect()} == {"a/b.PY": "Python", "Rakefile": "Ruby", "x.zsh": "Bash", "y.unknown": None}
     hid = spark.createDataFrame([("a/node_modules/x.js",), ("b.gen.py",), ("tmp/z.py",), ("src/tmpz.py",), ("ok.py",)], "path string").select("path", files.ignored(files.F.col("path"), ["*.gen.py", "# no", "tmp/"]).alias("i"))
     assert {r.path for r in hid.collect() if not r.i} == {"src/tmpz.py", "ok.py"}
+
+
+BRACES = {
+    "a/util.ts": ("TypeScript", "export function helper(i: number, ...rest) { return i ? 1 : 2; }\n"),
+    "a/x.ts": ("TypeScript", "import { helper as h } from './util';\n/** A store. */\nexport class Store<T> extends Base implements Kept {\n  constructor(private x: number) { super(x); this.load('if (x) {'); }\n  async load(k: string, n = 3): Promise<void> {\n    if (k) { for (const i of n) { h(i); } } else { return; } // if (no)\n    return k ? other.go(k) : this.load(k);\n  }\n}\nclass Base {\n  load() {}\n}\nconst go = (q) => { new Store(q); };\n"),
+    "y.go": ("Go", "package m\n// Run starts.\nfunc (s *Srv) Run(addr string, n int) error {\n\tfor i := 0; i < n; i++ { if i > 2 { fmt.Println(i) } }\n\treturn start(addr)\n}\nfunc start(a string) error { return nil }\n"),
+    "z.rs": ("Rust", "pub struct P { a: u8 }\nimpl P { pub fn go(&self, n: usize) -> bool { match n { 0 => true, _ => self.go(n) } } }\n"),
+    "w.java": ("Java", "public class A extends B {\n  @Override\n  public List<String> get(int x) { try { return x > 1 ? one(x) : null; } catch (E e) { throw e; } }\n}\n"),
+    "v.rb": ("Ruby", "class User < Base\n  def name(x, y = 1)\n    if x\n      other(y)\n    end\n  end\n  def other(z)\n    z.each do |q|\n      puts(q)\n    end\n  end\nend\n"),
+}
+
+
+def test_brace_languages_become_the_same_units(spark):
+    from latticework.sources import brace_source
+
+    rows = [u for p, (lang, t) in BRACES.items() for u in brace_source.units(p, t, lang)]
+    f = {u["id"]: u for u in rows if u["kind"] == "function"}
+    got = {k: (u["parent_class"], [p["name"] for p in u["parameters"]], [c["name"] for c in u["calls"]], u["cyclomatic"], u["nesting_depth"], u["return_count"]) for k, u in f.items()}
+    assert got == {
+        "a/util.ts::helper": (None, ["i", "rest"], [], 2, 0, 1), "a/x.ts::Store.constructor": ("a/x.ts::Store", ["x"], ["load"], 1, 0, 0), "a/x.ts::Store.load": ("a/x.ts::Store", ["k", "n"], ["h", "go", "load"], 4, 2, 2), "a/x.ts::Base.load": ("a/x.ts::Base", [], [], 1, 0, 0), "a/x.ts::go": (None, ["q"], ["Store"], 1, 0, 0),
+        "y.go::Srv.Run": ("y.go::Srv", ["addr", "n"], ["Println", "start"], 3, 2, 1), "y.go::start": (None, ["a"], [], 1, 0, 1), "z.rs::P.go": ("z.rs::P", ["n"], ["go"], 3, 0, 0), "w.java::A.get": ("w.java::A", ["x"], ["one"], 3, 1, 1),
+        "v.rb::User.name": ("v.rb::User", ["x", "y"], ["other"], 2, 0, 0), "v.rb::User.other": ("v.rb::User", ["z"], ["puts"], 1, 0, 0),
+    }
+    assert f["a/x.ts::Store.load"]["is_async"] and f["y.go::Srv.Run"]["docstring"] == "Run starts."
+    raw = BRACES["a/x.ts"][1].encode()
+    assert all(raw[u["name_span"]["start"] : u["name_span"]["end"]].decode() == u["name"] for u in rows if u["path"] == "a/x.ts" and u["kind"] in ("class", "function"))
+    c = GraphCatalog.from_units(brace_source.extract(spark.createDataFrame([(p, t, lang) for p, (lang, t) in BRACES.items()], "path string, text string, language string")))
+    e = {(r.src, r.dst) for r in c.edges.where("kind = 'calls'").collect()}
+    assert {("a/x.ts::Store.load", "a/util.ts::helper"), ("a/x.ts::Store.constructor", "a/x.ts::Store.load"), ("y.go::Srv.Run", "y.go::start"), ("z.rs::P.go", "z.rs::P.go")} <= e
+    assert {(r.src, r.dst) for r in c.edges.where("kind in ('imports', 'extends')").collect()} == {("a/x.ts::module", "a/util.ts::module"), ("a/x.ts::Store", "a/x.ts::Base")}

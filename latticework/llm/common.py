@@ -10,43 +10,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.cluster import ship
+from latticework.cluster import ship, stored  # noqa: F401 (stored is for the operators)
 
 WORD = re.compile(r"\w+")
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    kept = spark.sparkContext.getCheckpointDir()
-    if kept:
-        return kept.rstrip("/")
-    import tempfile
-
-    made = "file://" + tempfile.mkdtemp(prefix="latticework-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, executors may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def scan(sf_dir: str, table: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -58,7 +58,12 @@ def plan(questions: DataFrame) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, budget: int, order: str, text: str = "text", group: str | None = None) -> DataFrame:
-    """The rows, in order, whose estimated tokens together stay within the budget; with group, within each group."""
+    """The rows, in order, whose estimated tokens together stay within the budget; with group, within each group.
+
+    A row costs a token at least, so without groups no row beyond the first ``budget`` can be within it.
+    """
+    if group is None:
+        rows = rows.orderBy(order).limit(budget)
     w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     cost = rows.withColumn("tokens", token_estimate(F.col(text)))
     return cost.withColumn("total", F.sum("tokens").over(w)).where(F.col("total") <= budget)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.catalog import extract
-from latticework.cluster import shared_dir
+from latticework.cluster import shared_dir, stored
 from latticework.operators.diff import unit_diff
 from latticework.operators.graph import first_by
 from latticework.schema import IGNORED_PARTS, LANGUAGES
@@ -50,55 +50,77 @@ def read_changes(spark: SparkSession, folder: str, max_files: int = 1000) -> Dat
 
 
 class UnitStore:
-    """Versions of the units table in the shared folder: a batch writes the next version, readers see whole ones.
+    """The units table as deltas in the shared folder: a batch writes only what changed, readers merge by path.
 
-    A batch that runs again under its id changes nothing.
+    Version v of generation g is units/v (the new units of the changed files) and
+    then paths/v (the changed paths, deleted ones too), whose success marker
+    commits it.  The current units of a path are those of its last version.
+    Compaction writes a new generation of one version and drops the others.  A
+    batch that runs again under its id changes nothing.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.folder = folder or f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"
-        self.at: int | None = None
+        self.folder = (folder or f"{shared_dir(spark)}/units-{uuid.uuid4().hex}").rstrip("/")
 
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/v={version:012d}"
-
-    def _versions(self) -> list[int]:
+    def _listed(self, folder: str, prefix: str, committed: str) -> list[int]:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS")))
+        names = [x.getPath().getName() for x in fs.listStatus(at)]
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}{committed}")))
+
+    def _generation(self) -> int:
+        return max([0, *self._listed(self.folder, "g=", "/_DONE/_SUCCESS")])
+
+    def _versions(self, generation: int | None = None) -> list[int]:
+        g = self._generation() if generation is None else generation
+        return self._listed(f"{self.folder}/g={g}/paths", "v=", "/_SUCCESS")
 
     def current(self) -> DataFrame | None:
-        found = self._versions()
-        self.at = found[-1] if found else None
-        return self.spark.read.parquet(self._path(self.at)) if found else None
+        """The merged table, or None before the first batch."""
+        g = self._generation()
+        found = self._versions(g)
+        if not found:
+            return None
+
+        def read(part):
+            base = f"{self.folder}/g={g}/{part}"
+            return self.spark.read.option("basePath", base).parquet(*[f"{base}/v={v}" for v in found])
+
+        last = read("paths").groupBy("path").agg(F.max("v").alias("v"))
+        units = read("units")
+        return units.join(last, ["path", "v"], "left_semi").select(*[c for c in units.columns if c != "v"])
+
+    def _write(self, generation: int, version: int, units: DataFrame, paths: DataFrame) -> None:
+        base = f"{self.folder}/g={generation}"
+        units.write.mode("overwrite").parquet(f"{base}/units/v={version}")
+        paths.select("path").write.mode("overwrite").parquet(f"{base}/paths/v={version}")
 
     def upsert(self, changes: DataFrame, batch_id: int, on_diff=None) -> None:
         """Replace the changed files' units; on_diff(batch_id, diff) sees inserts, modifications and removals."""
-        if batch_id in self._versions():
+        g = self._generation()
+        if any(v >= batch_id for v in self._versions(g)):
             return
-        last = latest(changes)
-        fresh = extract(with_language(last.where("text is not null")))
+        last = stored(latest(changes), "changes")  # a stream's batch may be read once only
         old = self.current()
-        if old is None:
-            new = fresh
-        else:
-            new = old.join(last.select("path"), "path", "left_anti").select(*fresh.columns).unionByName(fresh)
-        new.write.mode("overwrite").parquet(self._path(batch_id))
+        self._write(g, batch_id, extract(with_language(last.where("text is not null"))), last)
         if on_diff is not None and old is not None:
-            touched = self.spark.read.parquet(self._path(batch_id)).join(last.select("path"), "path", "left_semi")
-            on_diff(batch_id, unit_diff(old.join(last.select("path"), "path", "left_semi"), touched))
+            fresh = self.spark.read.parquet(f"{self.folder}/g={g}/units/v={batch_id}")
+            on_diff(batch_id, unit_diff(old.join(last.select("path"), "path", "left_semi"), fresh))
 
-    def compact(self, keep: int = 2) -> None:
-        """Delete all but the last versions."""
+    def compact(self) -> None:
+        """Merge all versions into one."""
+        g, found, now = self._generation(), self._versions(), self.current()
+        if len(found) < 2:
+            return
+        self._write(g + 1, found[-1], now, now.select("path").distinct())
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/g={g + 1}/_DONE")
         jvm = self.spark._jvm
-        for v in self._versions()[:-keep]:
-            path = jvm.org.apache.hadoop.fs.Path(self._path(v))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        old = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/g={g}")
+        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def follow(changes: DataFrame, store: UnitStore, checkpoint: str, debounce: str = "100 milliseconds", once: bool = False, on_diff=None):

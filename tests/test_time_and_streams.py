@@ -62,6 +62,10 @@ def test_stream_equals_full_rebuild(spark, tmp_path):
     before = store._versions()
     store.upsert(spark.createDataFrame([("z.py", "def z(): pass", ts(1))], inc.CHANGE), before[-1])
     assert store._versions() == before  # a batch that runs again changes nothing
+    store.compact()
+    assert len(store._versions()) == 1 and {r.id for r in store.current().where("kind = 'function'").collect()} == {"a.py::f", "a.py::k"}
+    store.upsert(spark.createDataFrame([("z.py", "def z(): pass", ts(1)), ("a.py", None, ts(1))], inc.CHANGE), 99)
+    assert {r.id for r in store.current().where("kind = 'function'").collect()} == {"z.py::z"}
 
 
 def test_own_writes_are_suppressed(spark):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .cluster import stored
 from .operators import diff, graph, mutate, resolve, rules, search, temporal
-from .plans.query import run
+from .plans.query import run, with_joins
 from .sources import files as file_source
 from .sources import brace_source, frameworks, python_source
 
@@ -98,37 +98,54 @@ class GraphCatalog:
 
     # -- views of the query language ---------------------------------------------------------------------------------
     @cached_property
-    def views(self) -> dict[str, DataFrame]:
+    def views(self) -> dict:
+        """Views by entity; each takes the names that a query reads and joins only what those need."""
+        edges = self.edges
+        degree = lambda *columns: lambda: graph.degrees(edges).select("id", *columns)
+        counts, lists = ("caller_count", "callee_count"), ("callers", "callees")
+        degrees = [(["id"], counts, degree(*counts), 0), (["id"], lists, degree(*lists), None)]
         if self.units is None:
-            degree = graph.degrees(self.edges)
-            nodes = self.entities.join(degree, "id", "left").fillna(0, ["caller_count", "callee_count"])
-            return {k: nodes for k in ("functions", "classes", "modules", "fields", "imports")} | {"calls": self.edges}
-        u, edges = self.units, self.edges
-        module_names = _units_of(u, "module").select(F.col("id").alias("parent_module"), F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.[A-Za-z0-9]+$", ""), "/__init__$", ""), "/", ".").alias("module_name"))
-        count = lambda kind, key, name: _units_of(u, kind).groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
-        degree = graph.degrees(edges)
-        over = edges.where("kind = 'overrides'").groupBy(F.col("src").alias("id")).agg(F.collect_set("dst").alias("a"))
-        over = over.select("id", F.array_distinct(F.concat("a", F.transform("a", lambda x: F.regexp_extract(x, r"([^:]+)$", 1)))).alias("overrides"))
-        setters = _units_of(u, "function").where("function_kind = 'Setter'").select("parent_class", "name", F.lit(True).alias("has_setter")).distinct()
+            nodes = lambda names: with_joins(self.entities, names, degrees)
+            return {k: nodes for k in ("functions", "classes", "modules", "fields", "imports")} | {"calls": edges}
+        u = self.units
+
+        def count(kind, key, name):
+            return lambda: _units_of(u, kind).groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
+
+        def module_names():
+            dotted = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.[A-Za-z0-9]+$", ""), "/__init__$", ""), "/", ".")
+            return _units_of(u, "module").select(F.col("id").alias("parent_module"), dotted.alias("module_name"))
+
+        def overrides():
+            over = edges.where("kind = 'overrides'").groupBy(F.col("src").alias("id")).agg(F.collect_set("dst").alias("a"))
+            return over.select("id", F.array_distinct(F.concat("a", F.transform("a", lambda x: F.regexp_extract(x, r"([^:]+)$", 1)))).alias("overrides"))
+
+        def methods():
+            own = _units_of(u, "function").where("parent_class is not null").groupBy(F.col("parent_class").alias("id"))
+            return own.agg(F.sort_array(F.collect_set("name")).alias("method_names"), F.count("*").alias("method_count"))
+
         functions = _units_of(u, "function").select(
             "id", "name", "qualified_name", "path", "parent_module", "parent_class", "line", "exit_line", (F.col("exit_line") - F.col("line")).alias("line_count"), "is_async", "is_generator", "decorators", F.col("function_kind").alias("kind"),
             F.size("parameters").alias("parameter_count"), "return_type", "docstring", "cyclomatic", "nesting_depth", "return_count",
-        ).join(degree, "id", "left").fillna(0, ["caller_count", "callee_count"]).withColumn("resolved_call_targets", F.col("callees"))
-        functions = functions.join(module_names, "parent_module", "left").join(over, "id", "left").join(setters, ["parent_class", "name"], "left").fillna(False, ["has_setter"])
-        methods = _units_of(u, "function").where("parent_class is not null").groupBy(F.col("parent_class").alias("id")).agg(F.sort_array(F.collect_set("name")).alias("method_names"), F.count("*").alias("method_count"))
-        subs = edges.where("kind = 'extends'").groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("src")).alias("subclasses"))
+        )
+        setters = lambda: _units_of(u, "function").where("function_kind = 'Setter'").select("parent_class", "name", F.lit(True).alias("has_setter")).distinct()
+        module = (["parent_module"], ("module_name",), module_names, None)
+        targets = (["id"], ("resolved_call_targets",), lambda: graph.degrees(edges).select("id", F.col("callees").alias("resolved_call_targets")), None)
+        function_joins = [*degrees, targets, module, (["id"], ("overrides",), overrides, None), (["parent_class", "name"], ("has_setter",), setters, False)]
         classes = _units_of(u, "class").select("id", "name", "qualified_name", "path", "parent_module", "line", "exit_line", "decorators", "grammar_kind", "docstring", F.col("bases").alias("inherits_from"), F.size("fields").alias("field_count"), "is_dataclass")
-        order = self.parts["bases"].select(F.col("class_id").alias("id"), "resolved_bases", "mro", "mro_names", "mro_error")
-        classes = classes.join(methods, "id", "left").fillna(0, ["method_count"]).join(order, "id", "left").join(subs, "id", "left").join(module_names, "parent_module", "left")
+        order = lambda: self.parts["bases"].select(F.col("class_id").alias("id"), "resolved_bases", "mro", "mro_names", "mro_error")
+        subs = lambda: edges.where("kind = 'extends'").groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_set("src")).alias("subclasses"))
+        class_joins = [(["id"], ("method_names", "method_count"), methods, 0), (["id"], ("resolved_bases", "mro", "mro_names", "mro_error"), order, None), (["id"], ("subclasses",), subs, None), module]
         modules = _units_of(u, "module").select("id", "name", "path", "language", "star_exports", "docstring", "content_hash")
-        for kind, name in (("class", "class_count"), ("function", "function_count"), ("import", "import_count")):
-            modules = modules.join(count(kind, "parent_module", name), "id", "left").fillna(0, [name])
+        module_joins = [(["id"], (name,), count(kind, "parent_module", name), 0) for kind, name in (("class", "class_count"), ("function", "function_count"), ("import", "import_count"))]
         imports = self.parts["imports"].select("id", "raw", F.col("import_kind").alias("kind"), "module", "level", "line", "is_type_only", "path", "parent_module", "resolved_module", F.coalesce("resolved_module", "module").alias("resolved_target"), "target_kind")
-        kinds = self.entities.select(F.col("id").alias("target"), F.col("kind").alias("entity_kind"))
-        calls = self.parts["calls"].join(kinds, "target", "left")
-        calls = calls.select(F.col("src").alias("source"), "target", "name", "receiver", "line", "tag", "unresolved_reason", "confidence", F.when(F.col("entity_kind").isin("function", "class"), F.col("entity_kind")).otherwise("external").alias("target_kind"))
+        kinds = lambda: self.entities.where("kind in ('function', 'class')").select(F.col("id").alias("target"), F.col("kind").alias("target_kind"))
+        calls = self.parts["calls"].select(F.col("src").alias("source"), "target", "name", "receiver", "line", "tag", "unresolved_reason", "confidence")
         fields = _units_of(u, "class").select(F.col("id").alias("parent_class"), F.explode("fields").alias("f")).select(F.concat_ws(".", "parent_class", "f.name").alias("id"), "f.name", "parent_class", "f.type_annotation", "f.is_class_var", "f.line")
-        return {"functions": functions, "classes": classes, "modules": modules, "imports": imports, "calls": calls, "fields": fields}
+        return {
+            "functions": lambda names: with_joins(functions, names, function_joins), "classes": lambda names: with_joins(classes, names, class_joins), "modules": lambda names: with_joins(modules, names, module_joins),
+            "imports": imports, "calls": lambda names: with_joins(calls, names, [(["target"], ("target_kind",), kinds, "external")]), "fields": fields,
+        }
 
     def query(self, text: str) -> DataFrame:
         return run(text, self.views)

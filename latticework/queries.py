@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .catalog import resolve_units
 from .functions import text as tx
 from .operators import diff, graph, mro, resolve, rules, search, temporal
-from .plans.query import run
+from .plans.query import run, with_joins
 from .sources import frameworks, python_source
 from .streaming import incremental
 
@@ -66,11 +66,15 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return contains_edges(spark, d).unionByName(call_edges(spark, d)).unionByName(import_edges(spark, d))
 
 
-def parts(spark: SparkSession, d: str) -> DataFrame:
-    """The functions view: parts with the customers that call them."""
+def parts(spark: SparkSession, d: str):
+    """The functions view: parts, and the number of customers that call them where a query reads it."""
     p = table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_retailprice").alias("price"))
-    callers = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.concat(F.lit("part:"), "l_partkey").alias("id")).agg(F.count_distinct("o_custkey").alias("caller_count"))
-    return p.join(callers, "id", "left").fillna(0, ["caller_count"])
+
+    def callers():
+        ordered = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+        return ordered.groupBy(F.concat(F.lit("part:"), "l_partkey").alias("id")).agg(F.count_distinct("o_custkey").alias("caller_count"))
+
+    return lambda names: with_joins(p, names, [(["id"], ("caller_count",), callers, 0)])
 
 
 _CONTAINS = """c as (select 'region:' || n_regionkey as src, 'nation:' || n_nationkey as dst, 'contains' as kind from nation union all

@@ -203,3 +203,15 @@ def test_brace_languages_become_the_same_units(spark):
     e = {(r.src, r.dst) for r in c.edges.where("kind = 'calls'").collect()}
     assert {("a/x.ts::Store.load", "a/util.ts::helper"), ("a/x.ts::Store.constructor", "a/x.ts::Store.load"), ("y.go::Srv.Run", "y.go::start"), ("z.rs::P.go", "z.rs::P.go")} <= e
     assert {(r.src, r.dst) for r in c.edges.where("kind in ('imports', 'extends')").collect()} == {("a/x.ts::module", "a/util.ts::module"), ("a/x.ts::Store", "a/x.ts::Base")}
+
+
+def test_decorators_and_dataclasses(spark):
+    from pyspark.sql import functions as F
+
+    from latticework.operators import shapes
+
+    rows = [(["staticmethod"], True), (["functools.cached_property"], True), (["x.setter"], True), (["wraps(f)"], True), (["classmethod"], False), ([], True)]
+    got = spark.createDataFrame(rows, "d array<string>, c boolean").select(shapes.function_kind(F.col("d"), F.col("c"))).collect()
+    assert [r[0] for r in got] == ["StaticMethod", "Property", "Setter", "Method", "Free", "Method"]
+    u = python_source.extract(spark.createDataFrame([("a.py", "@dataclass(frozen=True)\nclass A:\n    x: int\n    def __eq__(self, o): return True\nclass B: pass\n")], "path string, text string"))
+    assert sorted(r.id for r in shapes.generated_methods(u).collect()) == ["a.py::A.__init__", "a.py::A.__repr__"]

@@ -7,7 +7,9 @@ dictionary of common identifiers and with the text around the candidate,
 without copies of the candidate itself; the bytes that the candidate adds to
 an empty frame are its novelty.  Names, paths and words repeated nearby cost
 few bytes; keys cost nearly their own length.  A candidate is reported when
-novel bytes / length reaches MIN_NOVELTY and its letters and digits are mixed.
+novel bytes / length reaches MIN_NOVELTY, or novel bytes reach MIN_RANDOM of
+what a random string of its alphabet and length costs (entropy coding halves
+long hex), and its letters and digits are mixed.
 
 Defined results: null ids stay null in the report; null and empty texts report
 nothing; texts are scanned whole; the same secret twice in a text is reported
@@ -18,7 +20,9 @@ secret; other columns are ignored (findings) or kept (redacted).
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -27,7 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-MIN_LENGTH, MIN_NOVELTY = 16, 0.7
+MIN_LENGTH, MIN_NOVELTY, MIN_RANDOM = 16, 0.7, 0.9
+#: From narrow to wide: a candidate is measured against the first that holds it.
+ALPHABETS = tuple(
+    (re.compile(f"[{x}]*"), y)
+    for x, y in (
+        ("0-9a-f", "0123456789abcdef"), ("0-9A-F", "0123456789ABCDEF"), ("A-Z2-7=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("a-z2-7=", "abcdefghijklmnopqrstuvwxyz234567"), ("0-9a-z", "0123456789abcdefghijklmnopqrstuvwxyz"),
+        ("0-9A-Z", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\s\S", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"),
+    )
+)
 #: Characters on the left in which a name must stand; characters on each side that prime the compressor.
 REACH, AROUND = 48, 512
 MASK = "[SECRET]"
@@ -64,6 +76,17 @@ def novel_bytes(candidate: str, around: str) -> int:
     return max(0, len(packed) - _plain)
 
 
+@lru_cache(4096)
+def random_bytes(alphabet: str, length: int) -> int:
+    """Novel bytes of a random string."""
+    return novel_bytes("".join(random.Random(length).choices(alphabet, k=length)), "")
+
+
+def novel(n: int, word: str) -> bool:
+    """Whether n novel bytes are as many as a key like word has."""
+    return n >= MIN_NOVELTY * len(word) or n >= MIN_RANDOM * random_bytes(next(y for x, y in ALPHABETS if x.fullmatch(word)), len(word))
+
+
 def secrets(text: str) -> list[tuple[int, int, str, int, float]]:
     """(first and last character, what names it, novel bytes, novelty) of each secret."""
     out = []
@@ -84,7 +107,7 @@ def secrets(text: str) -> list[tuple[int, int, str, int, float]]:
         if word in around:  # whole copies don't make a secret known; a longer name that holds it does
             around = re.sub(rf"(?<![A-Za-z0-9+/_\-~]){re.escape(word)}(?![A-Za-z0-9+/_\-~])", " ", around)
         n = novel_bytes(word, around)
-        if n >= MIN_NOVELTY * (e - a):
+        if novel(n, word):
             out.append((a, e, (named or known).group().lower(), n, round(n / (e - a), 4)))
     return out
 

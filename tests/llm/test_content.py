@@ -43,6 +43,16 @@ def test_secret_novelty_against_random_and_words():
     assert hit >= 195
 
 
+@pytest.mark.parametrize("alphabet, lengths", [("0123456789abcdef", (64, 96, 128, 256, 1024)), ("0123456789ABCDEF", (96, 128)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (64, 512)), (string.ascii_letters + string.digits, (64, 2000))])
+def test_long_keys_of_any_alphabet_are_secrets(alphabet, lengths):
+    rng = random.Random(7)
+    for n in lengths:
+        keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(50)]
+        assert all(len(sec.secrets(f"secret_key = '{k}'")) == 1 and sec.mask(f"secret_key = '{k}'") == f"secret_key = '{sec.MASK}'" for k in keys)
+    words = ["".join(rng.choices("etaoinshrdlucmfw", weights=range(16, 0, -1), k=rng.randrange(3, 9))) for _ in range(400)]
+    assert sum(len(sec.secrets("token " + "-".join(rng.choices(words, k=60)) + "-1")) for _ in range(50)) == 0
+
+
 def test_secret_queries_on_odd_inputs(make):
     docs = [(1, None), (None, f"api key {KEY}"), (2, ""), (3, f"token={KEY} token={KEY}"), (3, f"token={KEY}"), (4, "a" * 200_000 + f" password: {KEY}")]
     got = sec.findings(make(docs, extra=True)).collect()

@@ -1,97 +1,158 @@
 """Language identification of mixed texts: script ranges, then Viterbi over per-word scores.
 
-The script of a word's first letter narrows its candidate languages; a script
-of one language decides it.  Within a shared script a word scores the sum of
-its letter-trigram log-probabilities in each candidate, less the mean, clipped
-so that no single word forces a switch.  Viterbi picks the sequence of labels
-of the highest total, each change of language costing a fixed penalty.
+The script of a word's first letter (any of Unicode's, by the letter's name;
+Han with kana counts as Kana) narrows its candidate languages: those of the
+labelled rows that are written in it, else the script's usual one (DEFAULTS);
+a single candidate decides it.  Within a shared script a word scores the sum of
+its letter-trigram log-probabilities in each candidate (of its characters, for
+Han), less the mean, clipped so that no single word forces a switch.  Viterbi
+picks the sequence of labels of the highest total, each change of language
+costing a fixed penalty.
 
 Most texts hold one language, and for those the best constant label is proven
 optimal without the dynamic program: if no stretch of words gains more than
 half the penalty by any other label, no path with changes can win.
 
-The trigram model is fitted here, on at most TRAIN_DOCS labelled rows (lowest
-hash of the id); the labelling itself covers every word of every text.
+The tables are fitted here, on at most TRAIN_DOCS labelled rows (lowest hash of
+the id) and LANGUAGE_DOCS more of each language, TRAIN_DOCS again in all, so
+that rare languages are learned; the labelling covers every word of every text.
 
-Defined results: a null or empty text, or one without words of a known
-script, is "und" with confidence 0 and no spans; a null id is kept; a repeated
-row is labelled again; languages of fewer than MIN_DOCS labelled rows are not
-learned, and with no labelled rows at all Latin-script words stay unknown;
-equal totals go to the language that comes first by name; other columns are
-ignored.
+Defined results: a null or empty text, or one without words of a script that
+has a language, is "und" with confidence 0 and no spans; a null id is kept; a
+repeated row is labelled again; languages of fewer than MIN_DOCS labelled rows
+are not learned; a script's usual language gives way to labelled ones; with no
+labelled rows at all Latin-script words stay unknown; equal totals go to the
+language that comes first by name; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import re
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, lowered
 
-TRAIN_DOCS, MIN_DOCS = 4_000, 5
+TRAIN_DOCS, LANGUAGE_DOCS, MIN_DOCS = 4_000, 50, 5
+#: Of the letters of a language's rows that a script must hold for the language to be written in it.
+MIN_SHARE = 0.1
 PENALTY, CLIP, OTHER = 16.0, 6.0, -8.0
 MIN_CONFIDENCE = 0.5
 MEMO = 200_000
-LETTERS = re.compile(r"[^\W\d_]+")
-#: First and last code point, script.
-RANGES = (
-    (0x0041, 0x024F, "Latin"), (0x1E00, 0x1EFF, "Latin"), (0x0370, 0x03FF, "Greek"), (0x1F00, 0x1FFF, "Greek"), (0x0400, 0x052F, "Cyrillic"), (0x0590, 0x05FF, "Hebrew"),
-    (0x0600, 0x077F, "Arabic"), (0x08A0, 0x08FF, "Arabic"), (0x0900, 0x097F, "Devanagari"), (0x0E00, 0x0E7F, "Thai"), (0x1100, 0x11FF, "Hangul"), (0xAC00, 0xD7AF, "Hangul"),
-    (0x3040, 0x30FF, "Kana"), (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"),
-)
-#: Languages of the scripts for which nothing is learned; Latin's come from the labelled rows.
-SCRIPTS = {"Greek": ("el",), "Cyrillic": ("ru",), "Hebrew": ("he",), "Arabic": ("ar",), "Devanagari": ("hi",), "Thai": ("th",), "Hangul": ("ko",), "Kana": ("ja",), "Han": ("zh",)}
-FIXED = sorted({x for v in SCRIPTS.values() for x in v})
+def _runs(codes: list[int]) -> list[tuple[int, int]]:
+    """First and last of each run of successive numbers."""
+    cut = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
+    return [(codes[i], codes[j - 1]) for i, j in zip([0, *cut], [*cut, len(codes)])]
 
 
+MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs([c for c in range(0x300, 0x1F000) if unicodedata.category(chr(c)) in ("Mn", "Mc")]))
+#: Letters with the vowel signs and other marks between them.
+LETTERS = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")
+#: The language of a script of which no labelled rows are learned.
+DEFAULTS = dict(
+    x.split(":")
+    for x in "Greek:el Cyrillic:ru Hebrew:he Arabic:ar Devanagari:hi Thai:th Hangul:ko Kana:ja Han:zh Bopomofo:zh Bengali:bn Tamil:ta Telugu:te Gujarati:gu Gurmukhi:pa Oriya:or Kannada:kn Malayalam:ml Sinhala:si Lao:lo "
+    "Tibetan:bo Myanmar:my Georgian:ka Armenian:hy Ethiopic:am Khmer:km Mongolian:mn Thaana:dv Cherokee:chr Syriac:syr Canadian:iu Yi:ii Tifinagh:zgh Nko:nqo Javanese:jv Balinese:ban Sundanese:su Meetei:mni Vai:vai Adlam:ff Coptic:cop Gothic:got".split()
+)
+_OF_NAME = {"Cjk": "Han", "Ideographic": "Han", "Hiragana": "Kana", "Katakana": "Kana", "Katakana-Hiragana": "Kana", "Hentaigana": "Kana"}
+
+
+@lru_cache(None)
 def script(char: str) -> str | None:
-    c = ord(char)
-    return next((s for a, b, s in RANGES if a <= c <= b), None)
+    """By the letter's Unicode name, whose first words are its script's."""
+    name = unicodedata.name(char, "").title().split()
+    if char < "\u0250":
+        return "Latin"
+    if not name:
+        return "Tangut" if 0x17000 <= ord(char) < 0x18B00 else None
+    if name[0] in ("Fullwidth", "Halfwidth"):
+        name = name[1:]
+    kind = " ".join(name[:2]) if name[0] in ("Old", "New", "Ol", "Tai", "Linear") else name[0]
+    return _OF_NAME.get(kind, kind)
+
+
+def script_of(word: str) -> str | None:
+    """Of the first letter; Han with kana is Kana."""
+    kind = script(word[0])
+    return "Kana" if kind == "Han" and any("Kana" == script(c) for c in word) else kind
+
+
+def grams(word: str, kind: str) -> list[str]:
+    """Trigrams; the characters themselves where each is a word."""
+    if kind == "Han":
+        return list(word)
+    w = f"^{word}$"
+    return [w[i : i + 3] for i in range(len(w) - 2)]
+
+
+class Table:
+    """Gram scores of the languages of one script."""
+
+    def __init__(self, kind: str, languages: list[str], words: dict[str, Counter]):
+        self.kind, self.languages = kind, languages
+        counts: dict[str, list[int]] = {}
+        for i, lang in enumerate(languages if len(languages) > 1 else ()):
+            for word, n in words[lang].items():
+                for g in grams(word, kind):
+                    counts.setdefault(g, [0] * len(languages))[i] += n
+        self.index = {g: i + 1 for i, g in enumerate(counts)}
+        table = np.array([np.zeros(len(languages)), *counts.values()]) + 0.2
+        logs = np.log(table / table.sum(axis=0))
+        self.logs = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+        self.logs[0] = 0
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        if len(self.languages) == 1:
+            return np.full((len(words), 1), CLIP, np.float32)
+        known, flat, start = self.index.get, [], []
+        for w in words:
+            start.append(len(flat))
+            flat += [known(g, 0) for g in grams(w, self.kind)]
+        x = np.add.reduceat(self.logs[flat], start, axis=0)
+        return np.clip(x - x.mean(axis=1, keepdims=True), -CLIP, CLIP)
 
 
 class Model:
-    """Languages, and the trigram table of the Latin ones."""
+    """Languages, and for each script the table of those that are written in it."""
 
     def __init__(self, rows: list[tuple[str, str]]):
         docs = Counter(lang for lang, _ in rows)
-        self.latin = sorted(k for k, n in docs.items() if n >= MIN_DOCS and k not in FIXED)
-        self.languages = sorted({*self.latin, *FIXED})
-        place = {k: i for i, k in enumerate(self.latin)}
-        words = {k: Counter() for k in self.latin}
+        words: dict[str, dict[str, Counter]] = {}  # script, language
+        size: dict[str, Counter] = {k: Counter() for k, n in docs.items() if n >= MIN_DOCS}
+        tally = {k: Counter() for k in size}
         for lang, text in rows:
-            if lang in words:
-                words[lang].update(LETTERS.findall(lowered(text)))
-        counts: dict[str, list[int]] = {}
-        for lang, tally in words.items():
-            for word, n in tally.items():
-                w = f"^{word}$"
-                for i in range(len(w) - 2):
-                    counts.setdefault(w[i : i + 3], [0] * len(place))[place[lang]] += n
-        self.index = {t: i + 1 for i, t in enumerate(counts)}
-        table = np.array([np.zeros(len(place)), *counts.values()]).reshape(len(counts) + 1, len(place)) + 0.2
-        logs = np.log(table / table.sum(axis=0)) if len(place) else table
-        self.logs = (logs - logs.mean(axis=1, keepdims=True) if len(place) else logs).astype(np.float32)
-        self.logs[0] = 0
-        self.latin_at = np.array([self.languages.index(k) for k in self.latin], np.int64)
-        self.fixed_at = {s: [self.languages.index(k) for k in v] for s, v in SCRIPTS.items()}
-
-    def score(self, word: str) -> np.ndarray:
-        """Of each language; all 0 for a word of no known script."""
-        kind = script(word[0])
-        out = np.zeros(len(self.languages), np.float32)
-        if kind == "Latin" and len(self.latin):
-            w = f"^{word}$"
-            x = self.logs[[self.index.get(w[i : i + 3], 0) for i in range(len(w) - 2)]].sum(axis=0)
-            out[:] = OTHER
-            out[self.latin_at] = np.clip(x - x.mean(), -CLIP, CLIP)
-        elif kind in self.fixed_at:
-            out[:] = OTHER
-            out[self.fixed_at[kind]] = CLIP
+            if lang in tally:
+                tally[lang].update(LETTERS.findall(lowered(text)))
+        for lang, own in tally.items():
+            for word, n in own.items():
+                words.setdefault(script_of(word), {}).setdefault(lang, Counter())[word] = n
+                for c in word:
+                    size[lang][script(c) if c.isalpha() else None] += n
+            del size[lang][None]
+        self.candidates = {k: [v] for k, v in DEFAULTS.items()}
+        for kind in words:
+            if own := sorted(k for k in words[kind] if size[k][kind] >= MIN_SHARE * size[k].total()):
+                self.candidates[kind] = own
+        self.languages = sorted({x for v in self.candidates.values() for x in v})
+        self.tables = {k: Table(k, v, words.get(k, {})) for k, v in self.candidates.items()}
+        self.at = {k: np.array([self.languages.index(x) for x in v], np.int64) for k, v in self.candidates.items()}
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Of each word in each language; all 0 for a word of no known script."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        of: dict[str | None, list[int]] = {}
+        for i, w in enumerate(words):
+            of.setdefault(script_of(w), []).append(i)
+        for kind, rows in of.items():
+            if kind in self.tables:
+                out[rows] = OTHER
+                out[np.ix_(rows, self.at[kind])] = self.tables[kind].scores([words[i] for i in rows])
         return out
 
 
@@ -116,25 +177,11 @@ class _Scores(dict):
         return self.table[at]
 
     def _fill(self):
-        m, first, words = self.model, len(self) - len(self.new), self.new
+        first, words = len(self) - len(self.new), self.new
         self.new = []
         while len(self) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        latin = [i for i, w in enumerate(words) if w[0] < "\u0250" and script(w[0])] if m.latin else []
-        if latin:
-            known, flat, start = m.index.get, [], []
-            for i in latin:
-                w = f"^{words[i]}$"
-                start.append(len(flat))
-                flat += [known(w[j : j + 3], 0) for j in range(len(w) - 2)]
-            x = np.add.reduceat(m.logs[flat], start, axis=0)
-            rows = np.full((len(latin), len(m.languages)), OTHER, np.float32)
-            rows[:, m.latin_at] = np.clip(x - x.mean(axis=1, keepdims=True), -CLIP, CLIP)
-            self.table[np.array(latin) + first] = rows
-        done = set(latin)
-        for i, w in enumerate(words):
-            if i not in done:
-                self.table[first + i] = m.score(w)
+        self.table[first : first + len(words)] = self.model.score(words)
 
 
 def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -208,10 +255,14 @@ SPAN = "doc_id long, lang string, confidence double, n_words int, spans array<st
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model of at most TRAIN_DOCS rows with a label in lang."""
+    """A model of at most 2 x TRAIN_DOCS rows with a label in lang: those of lowest hash, of all and of each language."""
     labelled = docs.where("lang is not null and text is not null")
-    ids = [r[0] for r in labelled.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()]
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", "text").limit(TRAIN_DOCS).collect() if ids else []
+    keys = labelled.where("doc_id is not null").select("doc_id", "lang")
+    lowest = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = {r[0] for r in keys.select("doc_id").orderBy(*lowest).limit(TRAIN_DOCS).collect()}
+    at = F.row_number().over(Window.partitionBy("lang").orderBy(*lowest)).alias("_lw_at")
+    ids |= {r[0] for r in keys.select("doc_id", "lang", at).where(F.col("_lw_at") <= LANGUAGE_DOCS).orderBy("_lw_at", "lang").limit(TRAIN_DOCS).collect()}
+    rows = labelled.where(F.col("doc_id").isin(sorted(ids))).select("lang", "text").limit(2 * TRAIN_DOCS).collect() if ids else []
     return Model(sorted((r[0], r[1]) for r in rows))
 
 

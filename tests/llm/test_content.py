@@ -162,6 +162,40 @@ def test_language_odd_inputs(make, model):
     assert {r.lang for r in lan.languages(make([(1, EN), (2, RU)])).collect()} == {"und", "ru"}  # too few labels to learn from
 
 
+UK = "будинок і сад були світлі від ранкового сонця коли вони прийшли сюди її їхні"
+RU2 = "дом и сад были светлы от утреннего солнца когда они пришли сюда ещё эти вещи"
+MR = "माझे घर आणि बाग सकाळी उजळ होते जेव्हा ते येथे आले आहेत आणि त्यांनी पाहिले"
+HI = "मेरा घर और बाग सुबह उज्ज्वल थे जब वे यहाँ आए हैं और उन्होंने देखा"
+FA = "خانه و باغ در صبح روشن بودند که آنها به اینجا آمدند پدر گفت چه می‌کنی"
+AR = "كان البيت والحديقة في الصباح مشرقين عندما جاءوا إلى هنا قال الأب ماذا تفعل"
+JA, ZH = "東京の学校で日本語を勉強しています 図書館 電車 写真", "我们在北京的学校学习中文 图书馆 这是什么 你们好吗"
+SAMPLES = {"bn": "বাংলা ভাষায় লেখা একটি বাড়ি", "ta": "தமிழ் மொழியில் எழுதிய வீடு", "te": "తెలుగు భాషలో రాసిన ఇల్లు", "gu": "ગુજરાતી ભાષામાં ઘર", "ka": "ქართული ენა და სახლი", "hy": "հայերեն լեզու և տուն", "am": "የአማርኛ ቋንቋ ቤት", "km": "ភាសាខ្មែរ ផ្ទះ", "ja": "日本語を話します"}
+
+
+def test_every_script_has_a_language(model):
+    for lang, text in SAMPLES.items():
+        got = lan.identify(text, lan._Scores(model))
+        assert got[0] == lang and got[1] > 0.9, (lang, got)
+    assert lan.LETTERS.findall("हिन्दी में") == ["हिन्दी", "में"]
+    assert lan.identify("ᜊᜌ᜔ᜊᜌᜒᜈ᜔", lan._Scores(lan.Model([("tl", "ᜊᜌ᜔ᜊᜌᜒᜈ᜔ ᜆᜄᜎᜓᜄ᜔")] * lan.MIN_DOCS)))[0] == "tl"  # no default, but labelled
+
+
+def test_languages_that_share_a_script_are_told_apart():
+    known = {"en": EN, "fr": FR, "uk": UK, "ru": RU2, "mr": MR, "hi": HI, "fa": FA, "ar": AR, "ja": JA, "zh": ZH}
+    s = lan._Scores(lan.Model([(k, t) for k, t in known.items() for _ in range(lan.MIN_DOCS)]))
+    for lang, text in known.items():
+        assert lan.identify(text, s)[0] == lang
+        assert lan.identify(" ".join(text.split()[3:9]), s)[0] == lang
+    assert lan.identify("電車 写真", s)[0] == "ja" and lan.identify("这是什么", s)[0] == "zh"
+
+
+def test_rare_labelled_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(lan, "TRAIN_DOCS", 100)
+    texts = [(i, EN if i % 200 else UK, "en" if i % 200 else "uk") for i in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert {r.lang for r in lan.languages(docs).where("doc_id % 200 = 0").collect()} == {"uk"}
+
+
 # -- mixing ------------------------------------------------------------------------------------------------------------
 def brute_fill(sizes, weights, most, budget):
     """Clamp and redistribute until feasible."""

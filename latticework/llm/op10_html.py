@@ -9,7 +9,11 @@ the threshold; lines at or above it, and at or above half the standard
 deviation, form the content.  A heading just above a content line goes with it.
 
 The parser is the standard library's, fed one page at a time without building
-a tree.  Script, style, template and comment content never counts.
+a tree.  Script, style, template and comment content never counts.  Text in
+nav, footer, aside, button or select counts PENALTY of its ratio, unless the
+element holds most of the page's unlinked text.  An end tag ends what is open
+within its element; an element that only the page's end would end is taken for
+left open by mistake, and neither skips nor penalises what follows.
 
 Defined results: a null page gives null content and counts; an empty page, or
 one without visible text, gives empty content; pages whose lines are all alike
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,45 +35,77 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-SIGMA = 1.0
+SIGMA, PENALTY = 1.0, 0.1
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 SKIPPED = frozenset(("script", "style", "template", "noscript", "svg", "title", "head"))
-BOILERPLATE = frozenset(("nav", "footer", "aside", "form", "button", "select"))
+BOILERPLATE = frozenset(("nav", "footer", "aside", "button", "select"))
+VOID = frozenset(("br", "hr"))
+FOLLOWED = (BLOCKS | SKIPPED | BOILERPLATE) - VOID
+WHOLE = frozenset(("html", "body"))
 _space = re.compile(r"[ \t\r\f\v\n ]+")
 
 
 class Lines(HTMLParser):
-    """Events in, lines out: (text, tags, link characters, is a heading, inside navigation)."""
+    """Events in, lines out: (text, tags, link characters, is a heading, the outermost boilerplate element that holds it or -1).
 
-    def __init__(self):
+    ignored: numbers of the elements that skip and penalise nothing; unclosed: those found to lack an end.
+    """
+
+    def __init__(self, ignored: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.in_link = self.skip = self.aside = 0
+        self.tags = self.linked = self.in_link = self.skip = self.number = 0
         self.heading = False
+        self.ignored, self.unclosed = ignored, set()
+        self.open: list[tuple[str, int]] = []
+        self.count: Counter = Counter()
+        self.aside: list[int] = []
 
     def cut(self):
         text = _space.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, self.heading, self.aside > 0))
+            self.lines.append((text, self.tags, self.linked, self.heading, self.aside[0] if self.aside else -1))
             self.tags = 0
         self.text, self.linked = [], 0
 
+    def begin(self, tag):
+        self.number += 1
+        self.open.append((tag, self.number))
+        self.count[tag] += 1
+        if self.number not in self.ignored:
+            self.skip += tag in SKIPPED and tag != "head"
+            if tag in BOILERPLATE:
+                self.aside.append(self.number)
+
+    def end(self, tag):
+        """Ends the innermost element of that tag, and what is open within; "" ends all."""
+        while self.open if not tag else self.count[tag]:
+            t, n = self.open.pop()
+            self.count[t] -= 1
+            special = t in BOILERPLATE or t in SKIPPED and t != "head"
+            if special and n not in self.ignored:
+                self.skip -= t in SKIPPED
+                if t in BOILERPLATE:
+                    self.aside.pop()
+                if not tag or tag in WHOLE:
+                    self.unclosed.add(n)
+            if t == tag:
+                break
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
-        if tag in SKIPPED:
-            self.skip += tag != "head"
-        elif tag == "a":
+        if tag == "a":
             self.in_link += 1
         elif tag in HEADINGS:
             self.heading = True
-        if tag in BOILERPLATE:
-            self.aside += 1
+        if tag in FOLLOWED:
+            self.begin(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -79,14 +116,12 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
-        if tag in SKIPPED:
-            self.skip = max(0, self.skip - (tag != "head"))
-        elif tag == "a":
+        if tag == "a":
             self.in_link = max(0, self.in_link - 1)
         elif tag in HEADINGS:
             self.heading = False
-        if tag in BOILERPLATE:
-            self.aside = max(0, self.aside - 1)
+        if tag in FOLLOWED:
+            self.end(tag)
 
     def handle_data(self, data):
         if self.skip:
@@ -122,22 +157,35 @@ def threshold(values: np.ndarray) -> float:
     return float((v[at] + v[at + 1]) / 2)
 
 
-def extract(html: str) -> tuple[str, int, int]:
-    """(content, lines, content lines)."""
-    p = Lines()
+def parsed(html: str, ignored: frozenset[int] = frozenset()) -> Lines:
+    p = Lines(ignored)
     p.feed(html)
     p.close()
     p.cut()
+    p.end("")
+    return p
+
+
+def extract(html: str) -> tuple[str, int, int]:
+    """(content, lines, content lines)."""
+    p = parsed(html)
+    if p.unclosed:
+        p = parsed(html, frozenset(p.unclosed))
     lines = p.lines
     if not lines:
         return "", 0, 0
-    ratio = np.array([0.0 if aside else (len(t) - min(k, len(t))) / max(1, g) for t, g, k, _, aside in lines])
+    held: Counter = Counter()
+    for t, _, k, _, n in lines:
+        held[n] += len(t) - min(k, len(t))
+    most = held.total() / 2
+    low = [n >= 0 and held[n] <= most for *_, n in lines]
+    ratio = np.array([(PENALTY if x else 1) * (len(t) - min(k, len(t))) / max(1, g) for (t, g, k, *_), x in zip(lines, low)])
     dense = np.round(smoothed(np.log1p(ratio)), 9)  # else equal lines part by rounding
     # the smoothed score of a line without text of its own stays low, whatever stands next to it
     score = np.minimum(dense, 2 * np.log1p(ratio))
     keep = score >= min(threshold(score), score.max())
     for i in range(len(lines) - 2, -1, -1):
-        if lines[i][3] and not lines[i][4] and keep[i + 1]:
+        if lines[i][3] and not low[i] and keep[i + 1]:
             keep[i] = True
     return "\n".join(x[0] for x, k in zip(lines, keep) if k), len(lines), int(keep.sum())
 

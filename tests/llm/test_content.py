@@ -298,6 +298,22 @@ def test_content_keeps_the_article_and_drops_menus():
     assert text.split("\n") == ["Title", *PARAGRAPHS] and lines > kept == 3
 
 
+ARTICLE = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS * 3)
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Menu {i}</a></li>" for i in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form id=aspnetForm><div>{MENU}</div><div>{ARTICLE}</div></form><div>Copyright 2024 Some Company</div></body>",
+    f"<body><nav>{MENU}<div>{ARTICLE}</div><div>Copyright 2024</div></body>",
+    f"<body><aside>{MENU}{ARTICLE}", f"<body><div><nav>{MENU}</div>{ARTICLE}</body>",
+    *(f"<html><body>{MENU}<{t}>{ARTICLE}</body></html>" for t in ("noscript", "svg", "template")),
+    f"<body><div><svg></div>{MENU}{ARTICLE}</body>", f"<body><aside>{MENU}{ARTICLE}</aside><p>Copyright</p></body>",
+])
+def test_wrapping_and_unclosed_elements_lose_no_article(page):
+    text = htm.extract(page)[0].split("\n")
+    assert [x for x in text if x in PARAGRAPHS] == PARAGRAPHS * 3 and not any("Menu" in x for x in text)
+
+
 def test_smoothing_and_threshold_equal_brute_force():
     rng = np.random.default_rng(0)
     v = rng.random(30) * 9

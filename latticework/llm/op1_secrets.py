@@ -1,15 +1,18 @@
 """Secret scan by dictionary-primed compression novelty.
 
-A candidate is a run of at least MIN_LENGTH token characters whose left
-context names something sensitive (token, password, api key, ...), or that
-begins as a known kind of key does.  A zstandard compressor is primed with a
+A candidate is the body of a private key block; the value (of MIN_VALUE
+characters or more) assigned to a sensitive name (token, password, api key,
+...), whole, with the signs it has; or a run of at least MIN_LENGTH token
+characters whose left context names something sensitive, or in which a known
+kind of key begins after a separator.  Values of letters only count when quoted
+or alone on their line, values of several words when they hold a digit.  A zstandard compressor is primed with a
 dictionary of common identifiers and with the text around the candidate,
 without copies of the candidate itself; the bytes that the candidate adds to
 an empty frame are its novelty.  Names, paths and words repeated nearby cost
 few bytes; keys cost nearly their own length.  A candidate is reported when
 novel bytes / length reaches MIN_NOVELTY, or novel bytes reach MIN_RANDOM of
 what a random string of its alphabet and length costs (entropy coding halves
-long hex), and its letters and digits are mixed.
+long hex).  Letters and digits must be mixed in a run.
 
 Defined results: null ids stay null in the report; null and empty texts report
 nothing; texts are scanned whole; the same secret twice in a text is reported
@@ -42,12 +45,21 @@ ALPHABETS = tuple(
 )
 #: Characters on the left in which a name must stand; characters on each side that prime the compressor.
 REACH, AROUND = 48, 512
+MIN_VALUE = 6
 MASK = "[SECRET]"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-.~]{%d,}={0,2}" % MIN_LENGTH)
 SENSITIVE = re.compile(
     r"(?i)(?:api|access|private|secret|signing|encryption|account|storage|ssh)[ _-]?key|secret|token|passw(?:or)?d|passphrase|\bpwd\b|credential|authori[sz]ation|\bbearer\b|client[ _-]?id|session[ _-]?id|webhook|connection[ _-]?string"
 )
 KNOWN = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|rk_live_|sk-|xox[abprs]-|eyJ|AIza|ya29\.|SG\.|npm_|hf_")
+INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{KNOWN.pattern})")
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----((?:(?!-----BEGIN ).)*?(?=-----END )|(?:(?:\s|\\[rn])*[A-Za-z0-9+/=]{16,})*)", re.S)
+ASSIGNED = re.compile(
+    f"(?i)(?:{SENSITIVE.pattern[4:]})" + r"""(?:[_-]?(?:key|value|text|string))?\d*\\?["'\]]*[ \t]*(?:=>|:=|==?|:)[ \t]*(?:(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<plain>[^\s"'`]+))"""
+)
+SIGN = re.compile("[=:]")
+#: Values that name where a secret is kept: calls, variables, placeholders.
+REFERENCE = re.compile(r"[\w.]+[(\[].*|\$\{?[A-Za-z_]\w*\}?|\$\(.*|<[^>]*>|\{.*\}|%\(?\w+\)?s?|[A-Za-z]\w*(?:\.[A-Za-z_]\w*)+", re.S)
 IDENTIFIERS = (
     "abstract access account action address admin algorithm allowed analytics android application argument array assert async attribute authenticate authentication authenticator authorization authorize "
     "background base64 batch binary boolean branch browser buffer builder bytes cache callback certificate channel character checkpoint checksum class client cluster collection column command comment commit "
@@ -87,9 +99,67 @@ def novel(n: int, word: str) -> bool:
     return n >= MIN_NOVELTY * len(word) or n >= MIN_RANDOM * random_bytes(next(y for x, y in ALPHABETS if x.fullmatch(word)), len(word))
 
 
+def _around(text: str, a: int, e: int) -> str:
+    around, word = text[max(0, a - AROUND) : a] + " " + text[e : e + AROUND], text[a:e]
+    if word in around:  # whole copies don't make a secret known; a longer name that holds it does
+        around = re.sub(rf"(?<![A-Za-z0-9+/_\-~]){re.escape(word)}(?![A-Za-z0-9+/_\-~])", " ", around)
+    return around
+
+
+def blocks(text: str):
+    """(first and last character, what names it, what is measured) of private key blocks."""
+    for m in BLOCK.finditer(text) if "PRIVATE KEY" in text else ():
+        body = m[1]
+        a = m.start(1) + len(body) - len(body.lstrip())
+        if word := re.sub(r"\s|\\[rn]", "", body):
+            yield a, a + len(body.strip()), "private key", word
+
+
+def values(text: str):
+    """The same of values assigned to a sensitive name."""
+    past = 0
+    for sign in SIGN.finditer(text):  # few: most texts are never searched for names
+        at = sign.start()
+        if at < past:
+            continue
+        named = None
+        for named in SENSITIVE.finditer(text, max(past, at - REACH), at):
+            pass  # the nearest
+        m = named and ASSIGNED.match(text, named.start())
+        if not m:
+            continue
+        past = m.end()
+        kind = "quoted" if m["quote"] else "plain"
+        a, e = m.span(kind)
+        if kind == "plain":
+            while e > a and text[e - 1] in ".,;:)]}?>":
+                e -= 1
+        word = text[a:e]
+        if e - a < MIN_VALUE or REFERENCE.fullmatch(m[kind]):
+            continue
+        if not any(map(str.isdigit, word)):
+            alone = not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].replace("export", "").strip(" \t_-.ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") and text[m.end() : m.end() + 1] in ("", "\n", "\r")
+            if any(map(str.isspace, word)) or kind == "plain" and not (alone and e == m.end()):
+                continue
+        yield a, e, SENSITIVE.match(text, m.start()).group().lower(), word
+
+
 def secrets(text: str) -> list[tuple[int, int, str, int, float]]:
     """(first and last character, what names it, novel bytes, novelty) of each secret."""
-    out = []
+    out: list = []
+    for found in (blocks, values, runs):
+        taken = [x[:2] for x in out]
+        for a, e, name, word in found(text):
+            if any(a < y and x < e for x, y in taken):
+                continue
+            n = novel_bytes(word, _around(text, a, e))
+            if novel(n, word):
+                out.append((a, e, name, n, round(n / len(word), 4)))
+    return sorted(out)
+
+
+def runs(text: str):
+    """The same of runs near a sensitive name, or with a known kind of key."""
     for m in CANDIDATE.finditer(text):
         a, e = m.span()
         while e > a and text[e - 1] in ".-~":  # the end of a sentence
@@ -101,15 +171,10 @@ def secrets(text: str) -> list[tuple[int, int, str, int, float]]:
         for named in SENSITIVE.finditer(text, max(0, a - REACH), a):
             pass  # the nearest
         known = KNOWN.match(word)
-        if not (named or known):
-            continue
-        around = text[max(0, a - AROUND) : a] + " " + text[e : e + AROUND]
-        if word in around:  # whole copies don't make a secret known; a longer name that holds it does
-            around = re.sub(rf"(?<![A-Za-z0-9+/_\-~]){re.escape(word)}(?![A-Za-z0-9+/_\-~])", " ", around)
-        n = novel_bytes(word, around)
-        if novel(n, word):
-            out.append((a, e, (named or known).group().lower(), n, round(n / (e - a), 4)))
-    return out
+        if named or known:
+            yield a, e, (named or known).group().lower(), word
+        elif known := next((k for k in INSIDE.finditer(word) if len(word) - k.start() >= MIN_LENGTH), None):
+            yield a + known.start(), e, known.group().lower(), word[known.start() :]
 
 
 def findings(docs: DataFrame) -> DataFrame:

@@ -377,12 +377,29 @@ def class_findings(spark, d):
 @query("coupling", """with m as (select distinct c_nationkey as id, s_nationkey as other from orders join lineitem on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey where l_discount >= 0.1),
 u as (select id, other from m union select n_nationkey, 100 + n_regionkey from nation) select id, count(distinct other)::double as CBO from u where id <> other group by 1""")
 def coupling(spark, d):
+    return _coupling(spark, d, table(spark, d, "lineitem").where("l_discount >= 0.1"))
+
+
+@query("coupling_all", """with o as (select c_custkey as c, c_nationkey || '/' || c_mktsegment as id from customer), m as (select distinct id, cast(s_suppkey as varchar) as other from orders join lineitem on o_orderkey = l_orderkey join o on c = o_custkey join supplier on s_suppkey = l_suppkey)
+select id, count(distinct other)::double as CBO from m group by 1""")
+def coupling_all(spark, d):
+    """Over every row of lineitem; the classes are each nation's segments, and suppliers."""
+    own = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat("c_nationkey", F.lit("/"), "c_mktsegment").alias("parent_class"))
+    theirs = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_suppkey").cast("string").alias("parent_class"))
+    classes = own.select(F.col("parent_class").alias("id"), F.array().cast("array<string>").alias("resolved_bases")).distinct()
+    return rules.coupling(classes, own.unionByName(theirs), _supply_calls(spark, d, table(spark, d, "lineitem")))
+
+
+def _supply_calls(spark, d, items):
+    pairs = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    return pairs.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("target"), F.lit("function").alias("tag"))
+
+
+def _coupling(spark, d, items):
     classes = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array(F.col("n_regionkey") + 100).alias("resolved_bases"))
     own = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_nationkey").alias("parent_class"))
     theirs = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_nationkey").alias("parent_class"))
-    pairs = table(spark, d, "orders").join(table(spark, d, "lineitem").where("l_discount >= 0.1"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()
-    calls = pairs.select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("target"), F.lit("function").alias("tag"))
-    return rules.coupling(classes, own.unionByName(theirs), calls)
+    return rules.coupling(classes, own.unionByName(theirs), _supply_calls(spark, d, items))
 
 
 # -- dedup by content --------------------------------------------------------------------------------------------------

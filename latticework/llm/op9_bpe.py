@@ -95,6 +95,10 @@ class PerfectHash:
         return self.index[at] if self.key[at] == key else -1
 
 
+#: Pre-tokens of fewer bytes have heap keys of narrow positions.
+SHORT = 1 << 24
+
+
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int]):
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -122,14 +126,14 @@ class Tokenizer:
         rank, n = self.ranks.get, len(piece)
         end = list(range(1, n + 1))  # end[i]: where the symbol that starts at i ends; 0 once it is merged away
         before = list(range(-1, n))
-        heap = [r << 48 | i << 24 | 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None] if n < 1 << 24 else None
-        if heap is None:
-            raise ValueError("a pre-token of 16 MB or more")
+        bits = 24 if n < SHORT else 48  # of a position or length in a heap key
+        high, low = 2 * bits, (1 << bits) - 1
+        heap = [r << high | i << bits | 2 for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapify(heap)
         while heap:
             x = heappop(heap)
-            i = x >> 24 & 0xFFFFFF
-            e = i + (x & 0xFFFFFF)
+            i = x >> bits & low
+            e = i + (x & low)
             j = end[i]
             if not j or j >= n or end[j] != e:
                 continue
@@ -138,10 +142,10 @@ class Tokenizer:
                 before[e] = i
                 k = end[e]
                 if (r := rank(piece[i:k])) is not None:
-                    heappush(heap, r << 48 | i << 24 | k - i)
+                    heappush(heap, r << high | i << bits | k - i)
             p = before[i]
             if p >= 0 and (r := rank(piece[p:e])) is not None:
-                heappush(heap, r << 48 | p << 24 | e - p)
+                heappush(heap, r << high | p << bits | e - p)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : end[i]]])

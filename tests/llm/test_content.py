@@ -295,6 +295,13 @@ def test_perfect_hash_is_minimal_and_exact(tokenizer):
     assert all(h.get(x) == -1 for x in (b"", b"no such token at all", b"\xff\xfe\xfd\xfc"))
 
 
+def test_long_pre_tokens_are_merged_alike(tokenizer, monkeypatch):
+    pieces = [b"ACGTTGCAAT" * 50, b" " * 700, b"abcdefgh" * 9]
+    want = [tokenizer.merge(x) for x in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 8)
+    assert [tokenizer.merge(x) for x in pieces] == want
+
+
 def test_bpe_round_trip_on_odd_inputs(make):
     docs = [(1, None), (None, "a b"), (2, ""), (3, "same"), (3, "same"), (4, "long " * 100_000), *((10 + i, t) for i, t in enumerate(texts()[:50]))]
     out = bpe.encoded(make(docs, extra=True))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MASK64, U64, arrow_map, columns, in_chunks, mix, runs, stored
-from .op8_jaccard import components
+from .tiles import components
 
 T = 0.9
 TABLES, HASHES, PROBES, ROUNDS = 12, 3, 4, 3

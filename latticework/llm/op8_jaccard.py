@@ -1,41 +1,52 @@
-"""All pairs of documents whose word n-gram sets have Jaccard similarity >= t.
-
-1. Each document becomes a set of hashed word n-grams, a bitmap of them whose
-   width follows the size band (a power of two), and MinHash keys.  Documents
-   with equal sets collapse to the smallest id; a copy is reported once,
-   against that id, so the output stays linear in the number of copies.
-2. A tile holds the documents that agree on a key and have a partner there of
-   a size that the threshold allows.  Each tile names its smallest id as
-   leader; a pair is examined once, under the smallest leader that both
-   have, whatever the number of tiles in which it meets.
-3. Under a leader, blocks of one size band meet blocks of the bands in reach.
-   The bits in which two bitmaps differ are at most the elements in which the
-   sets differ, so popcount(xor) bounds the overlap from above; pairs that
-   cannot reach t go no further.
-4. What is left is decided by intersecting the sorted arrays exactly.
-
-Everything reported is exact.  The tiles of step 2 find a pair of similarity j
-with probability 1 - (1 - j**3)**48 (0.998 at 0.5, over 0.9999 from 0.6 up); no partner, candidate or tile is cut.
-
-Defined results: null ids or texts and texts without words are in no pair; a
-text of fewer than n words has one n-gram, all its words; a row repeated with
-the same id pairs with nothing; other columns are ignored.
+"""Documents whose word n-gram sets have Jaccard similarity >= t: classes, and the links of each document.
+
+1. Each document becomes a set of hashed word n-grams; documents with equal
+   sets are one node.  A hashed bitmap of the set has a width that follows its
+   size band (a power of two).
+2. Candidates, complete at t: n-grams are ordered from rare to frequent, by a
+   counting sketch of fixed size over all documents, and two sets of
+   similarity t share one among the first |x| - ceil(t |x|) + 1 of either (of
+   the smaller set among its first |y| - ceil(2t / (1 + t) |y|) + 1).  The
+   order decides how many candidates there are, never which pairs are found.
+   Sets that share such an n-gram and are linked by sizes within reach of one
+   another get the smallest of them as leader.
+3. Tiles under a leader (see tiles.py): blocks of one size band meet the bands
+   in reach.  The bits in which two bitmaps differ are at most the elements in
+   which the sets differ, so popcount(xor) bounds the overlap from above; sets
+   without a pair that could reach t go no further.
+4. What is left is decided by intersecting the sorted arrays exactly, once for
+   each pair.  Links are counted and connect classes; pairs are never listed.
+
+An n-gram of more than HOT postings (by the sketch, or four times its mean) is
+hot: its postings are spread by salt, and its leader is an aggregate, so no
+task holds them all.  Other lists are shorter than that by the sketch's count.
+
+Defined results: one row for each id and set; a null id gives no row; null
+texts and texts without words are a class of their own with no links; a text of
+fewer than n words has one n-gram, all its words; an id that stands on several
+texts has a row for each of their sets; repeated rows count once; classes join
+all documents that links and equal sets connect, and class_id is the smallest
+id among them; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, arrow_map, columns, in_chunks, mix, runs, stored, window_hash, word_hashes
+from .tiles import KEY, LINK_SCHEMA, LINKS, Links, Once, classes, components, each_tile, groups, tiled  # noqa: F401 (components is for op7)
 
 N, T = 3, 0.5
-ROWS, BANDS = 3, 48
 BLOCK = 512
+#: Cells of the sketch, and cells of one of its pieces; postings of an n-gram that make it hot; postings held before they are sent.
+SKETCH, PIECE, HOT, HELD = 1 << 22, 1 << 16, 1 << 16, 1 << 21
+SALT = 64
 
 
 def ngrams(text: str, n: int = N) -> np.ndarray:
@@ -46,20 +57,9 @@ def ngrams(text: str, n: int = N) -> np.ndarray:
     return np.unique(mix(window_hash(w, min(n, len(w)))))
 
 
-_rng = np.random.default_rng(8)
-_mult = (_rng.integers(1, 1 << 32, ROWS * BANDS, dtype=np.uint64) | U64(1)).astype(np.uint32)
-_fold = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | U64(1)
-_salt = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
-
-
-def minhash_keys(grams: np.ndarray) -> np.ndarray:
-    """BANDS keys of 64 bits; sets of similarity j agree on each with probability about j**ROWS."""
-    g = (grams >> U64(32)).astype(np.uint32)
-    low = np.full(len(_mult), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(g), 2048):
-        np.minimum(low, (g[i : i + 2048, None] * _mult).min(axis=0), out=low)
-    m = low.reshape(BANDS, ROWS).astype(U64)
-    return mix((m * _fold).sum(axis=1, dtype=U64) + _salt)
+def set_hash(grams: np.ndarray) -> int:
+    """64 bits of a set: the same for equal sets only, but for accidents of a chance of n**2 / 2**64."""
+    return int(mix(grams).sum(dtype=U64).astype(np.int64))
 
 
 def width_of(size: int) -> int:
@@ -82,226 +82,363 @@ def folded(maps: np.ndarray, width: int) -> np.ndarray:
     return maps
 
 
-def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, set_hash, size, keys, bits) of every document that has words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
+def _packed(counts: np.ndarray) -> bytes:
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.int64) if counts.max() <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(1).compress(counts.astype(kind).tobytes())
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[blob[0]]
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), kind).astype(np.int64)
+
+
+SIGNATURE = "doc_id long, text_hash long, node long, size int, bits binary, piece int, counts binary"
+
+
+def _signatures(n: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("bits", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
+        sketch, held, many, seen = None, [], 0, set()
         for b in batches:
             out = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, key, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 g = ngrams(text, n)
-                if len(g):
-                    for o, x in zip(out, (doc, mix(g).sum(dtype=U64).astype(np.int64), len(g), minhash_keys(g).astype(np.int64), bitmap(g).tobytes())):
-                        o.append(x)
-            keys = pa.ListArray.from_arrays(np.arange(len(out[0]) + 1, dtype=np.int32) * BANDS, np.concatenate(out[3]) if out[3] else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), keys, pa.array(out[4], pa.binary())], schema=schema)
+                if not len(g):
+                    continue
+                node = set_hash(g)
+                for o, x in zip(out, (doc, key, node, len(g), bitmap(g).tobytes())):
+                    o.append(x)
+                if node not in seen:
+                    seen.add(node)
+                    held.append((g & U64(SKETCH - 1)).astype(np.int64))
+                    many += len(g)
+                if many > HELD:
+                    sketch = np.bincount(np.concatenate(held), minlength=SKETCH) + (0 if sketch is None else sketch)
+                    held, many = [], 0
+            none = len(out[0])
+            yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema)] + [pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema=schema)
+        if held:
+            sketch = np.bincount(np.concatenate(held), minlength=SKETCH) + (0 if sketch is None else sketch)
+        if sketch is not None:
+            for i in range(0, SKETCH, PIECE):
+                if sketch[i : i + PIECE].any():
+                    row = [None, None, None, None, None, i // PIECE, _packed(sketch[i : i + PIECE])]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    return arrow_map(rows, run, "doc_id long, set_hash long, size int, keys array<long>, bits binary")
+    return run
 
 
-def _leaders(t: float):
-    schema = pa.schema([("doc", pa.int64()), ("leader", pa.int64())])
+def signatures(docs: DataFrame, n: int = N) -> DataFrame:
+    """(doc_id, text_hash, node, size, bits) of every document that has words, and the pieces of each task's sketch."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where("doc_id is not null and text is not null")
+    return arrow_map(rows, _signatures(n), SIGNATURE)
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    """Counts as 8 bits: exact to 32, then in steps of 2 ** (1 / 8)."""
+    return np.where(count <= 32, count, np.minimum(255, 32 + np.floor(8 * np.log2(np.maximum(count, 32) / 32)))).astype(np.uint8)
+
+
+def _sum_pieces(batches):
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for piece, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x = _unpacked(counts)
+            total[piece] = total[piece] + x if piece in total else x
+    schema = pa.schema([("piece", pa.int32()), ("levels", pa.binary()), ("n", pa.int64())])
+    for piece, x in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([level(x).tobytes()], pa.binary()), pa.array([int(x.sum())], pa.int64())], schema=schema)
+
+
+def order(sig: DataFrame) -> tuple[np.ndarray, int]:
+    """(level of each cell of the sketch, lowest level that is hot): SKETCH bytes, whatever the input."""
+    pieces = sig.where("piece is not null").select("piece", "counts").repartition("piece")
+    levels, total = np.zeros(SKETCH, np.uint8), 0
+    for piece, own, n in arrow_map(pieces, _sum_pieces, "piece int, levels binary, n long").collect():
+        levels[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(bytes(own), np.uint8)
+        total += n
+    return levels, int(level(np.array([max(HOT, 4 * total // SKETCH)]))[0])
+
+
+def prefix(grams: np.ndarray, levels: np.ndarray, t: float) -> tuple[np.ndarray, int]:
+    """The rarest n-grams, one of which any set of similarity t shares; how many of them count when this is the smaller set."""
+    n = len(grams)
+    rare = levels[(grams & U64(SKETCH - 1)).astype(np.int64)]
+    first = grams[np.argsort(rare, kind="stable")[: n - math.ceil(t * n - 1e-9) + 1]]
+    return first, n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1
+
+
+def _postings(t: float, n: int, parts: int, shared):
+    """Cold postings of a task packed by part; hot ones a row each."""
+    schema = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+
+    def sent(held):
+        first = np.concatenate([h[0] for h in held])
+        doc = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
+        node, size = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int32)
+        small = np.concatenate([np.arange(len(h[0])) < h[1] for h in held])
+        hot = shared.value[0][(first & U64(SKETCH - 1)).astype(np.int64)] >= shared.value[1]
+        part = ((first >> U64(40)) % U64(parts)).astype(np.int32)
+        if hot.any():
+            spread = ((node[doc[hot]].view(U64) * U64(0x9E3779B97F4A7C15) >> U64(33)) % U64(parts)).astype(np.int32)
+            k = len(spread)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(k, pa.binary()), pa.array(first[hot].view(np.int64)), pa.array(node[doc[hot]]), pa.array(size[doc[hot]])], schema=schema)
+            first, doc, small, part = first[~hot], doc[~hot], small[~hot], part[~hot]
+        o = np.argsort(part, kind="stable")
+        first, doc, small, part = first[o], doc[o], small[o], part[o]
+        start, count = runs(part)
+        rows = [[], []]
+        for s, c in zip(start.tolist(), count.tolist()):
+            at, many = runs(doc[s : s + c])
+            own = doc[s + at]
+            pieces = -(-many // 255)
+            last = np.cumsum(pieces) - 1
+            each = np.full(int(pieces.sum()), 255, np.uint8)
+            each[last] = many - 255 * (pieces - 1)
+            own = np.repeat(own, pieces)
+            keys = np.ascontiguousarray(first[s : s + c]).view(np.uint8).reshape(-1, 8)[:, :5]
+            rows[0].append(part[s])
+            rows[1].append(b"".join((len(own).to_bytes(4, "little"), node[own].tobytes(), size[own].tobytes(), each.tobytes(), np.packbits(small[s : s + c]).tobytes(), keys.tobytes())))
+        k = len(rows[0])
+        if k:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), *(pa.nulls(k, f.type) for f in list(schema)[2:])], schema=schema)
 
     def run(batches):
-        key, size, doc = columns(batches, ["key", "size", "doc"])
-        o = np.lexsort((size, key))
-        key, size, doc = key[o], size[o], doc[o]
-        if len(key) > 1:
-            near = (key[1:] == key[:-1]) & (size[:-1] >= t * size[1:])
-            keep = np.r_[near, False] | np.r_[False, near]
-            key, doc = key[keep], doc[keep]
-            start, count = runs(key)
-            if len(start):
-                pairs = np.unique(np.stack([doc, np.repeat(np.minimum.reduceat(doc, start), count)], axis=1), axis=0)
-                yield from in_chunks([pairs[:, 0], pairs[:, 1]], ["doc", "leader"], schema)
+        held, many, seen = [], 0, set()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                g = ngrams(text, n)
+                if not len(g) or (node := set_hash(g)) in seen:
+                    continue
+                seen.add(node)
+                first, small = prefix(g, shared.value[0], t)
+                held.append((first, small, node, len(g)))
+                many += len(first)
+                if many > HELD:
+                    yield from sent(held)
+                    held, many = [], 0
+        if held:
+            yield from sent(held)
 
     return run
 
 
-def _bounded(t: float):
-    """Pairs under a leader whose bitmaps allow similarity t."""
-    schema = pa.schema([("leader", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def _unpack_postings(blob: bytes):
+    k = int.from_bytes(blob[:4], "little")
+    node = np.frombuffer(blob, np.int64, k, 4)
+    size = np.frombuffer(blob, np.int32, k, 4 + 8 * k)
+    each = np.frombuffer(blob, np.uint8, k, 4 + 12 * k).astype(np.int64)
+    n = int(each.sum())
+    small = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), 4 + 13 * k), count=n).astype(bool)
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 4 + 13 * k + -(-n // 8)).reshape(n, 5)
+    return key.view(U64).ravel(), np.repeat(node, each), np.repeat(size, each), small
+
+
+def led_by(key, node, size, small, t: float):
+    """(node, leader, size), distinct: leaders of the chains of sizes within reach that share a key."""
+    o = np.argsort(key)
+    key, node, size, small = key[o], node[o], size[o], small[o]
+    start, count = runs(key)
+    many = np.repeat(count > 1, count)
+    key, node, size, small = key[many], node[many], size[many], small[many]
+    o = np.lexsort((node, size, key))
+    key, node, size, small = key[o], node[o], size[o], small[o]
+    once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.zeros(0, bool)
+    key, node, size, small = key[once], node[once], size[once], small[once]
+    if not len(key):
+        return key.astype(np.int64), node, size
+    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (size[:-1] < t * size[1:])])
+    count = np.diff(np.r_[start, len(key)])
+    good = (count > 1) & np.logical_or.reduceat(small, start)
+    leader = np.repeat(np.minimum.reduceat(node, start), count)
+    keep = np.repeat(good, count)
+    node, leader, size = node[keep], leader[keep], size[keep]
+    o = np.lexsort((leader, node))
+    node, leader, size = node[o], leader[o], size[o]
+    once = np.r_[True, (node[1:] != node[:-1]) | (leader[1:] != leader[:-1])] if len(node) else np.zeros(0, bool)
+    return node[once], leader[once], size[once]
+
+
+def _leaders(t: float):
+    schema = pa.schema([("node", pa.int64()), ("leader", pa.int64()), ("weight", pa.int32()), ("gram", pa.int64())])
 
     def run(batches):
-        groups = defaultdict(list)
-        for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("leader", "doc", "size", "bits", "leaders")}
-            for lead, *row in zip(c["leader"], c["doc"], c["size"], c["bits"], c["leaders"]):
-                groups[lead].append(row)
-        out = []
-        for lead, rows in groups.items():
-            bands = defaultdict(list)
-            for r in rows:
-                bands[width_of(r[1])].append(r)
-            tiles = {}
-            for width, members in bands.items():
-                members.sort(key=lambda r: (r[1], r[0]))
-                tiles[width] = [members[i : i + BLOCK] for i in range(0, len(members), BLOCK)]
-            blocks = [(w, i, x) for w in sorted(tiles) for i, x in enumerate(tiles[w])]
-            maps = {(w, i): np.stack([np.frombuffer(r[2], U64) for r in x]) for w, i, x in blocks}
-            for n1, (w1, i1, x1) in enumerate(blocks):
-                s1 = np.array([r[1] for r in x1])
-                for n2 in range(n1, len(blocks)):
-                    w2, i2, x2 = blocks[n2]
-                    if x1[-1][1] < t * x2[0][1]:
-                        continue
-                    s2 = np.array([r[1] for r in x2])
-                    m2 = folded(maps[w2, i2], w1)
-                    m1 = maps[w1, i1]
-                    for p in range(len(x1)):
-                        q0 = p + 1 if n1 == n2 else 0
-                        if q0 >= len(x2):
-                            continue
-                        apart = np.bitwise_count(m2[q0:] ^ m1[p]).sum(axis=1, dtype=np.int64)
-                        total = s2[q0:] + s1[p]
-                        most = np.minimum((total - apart) // 2, np.minimum(s2[q0:], s1[p]))
-                        for q in np.flatnonzero(most >= t * (total - most)) + q0:
-                            a, b = x1[p], x2[q]
-                            if a[0] != b[0] and min(set(a[3]).intersection(b[3])) == lead:
-                                out.append((lead, min(a[0], b[0]), max(a[0], b[0])))
-        if out:
-            arr = np.array(out, np.int64)
-            yield from in_chunks([arr[:, 0], arr[:, 1], arr[:, 2]], ["leader", "a", "b"], schema)
+        found = [[], [], [], []]
+        for b in batches:
+            hot = b.column("gram").is_valid()
+            own = b.filter(hot)
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column("node"), pa.nulls(own.num_rows, pa.int64()), own.column("size"), own.column("gram")], schema=schema)
+            for blob in b.column("packed").drop_null().to_pylist():
+                for f, x in zip(found, _unpack_postings(blob)):
+                    f.append(x)
+        if found[0]:
+            for b in in_chunks(list(led_by(*map(np.concatenate, found), t)), ["node", "leader", "weight"], pa.schema(list(schema)[:3])):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64())], schema=schema)
 
     return run
 
 
-def _grams_of(n: int):
-    schema = pa.schema([("leader", pa.int64()), ("doc", pa.int64()), ("partners", pa.list_(pa.int64())), ("grams", pa.binary())])
+def candidates(docs: DataFrame, sig: DataFrame, t: float = T, n: int = N) -> DataFrame:
+    """Distinct (node, leader, weight)."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(order(sig))  # SKETCH bytes
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("text").where("doc_id is not null and text is not null")
+    posts = arrow_map(rows, _postings(t, n, parts, shared), "part int, packed binary, gram long, node long, size int")
+    found = stored(arrow_map(posts.repartitionById(parts, F.col("part")), _leaders(t), "node long, leader long, weight int, gram long"), "op8-leaders")
+    cold = found.where("gram is null").select("node", "leader", "weight")
+    hot = found.where("gram is not null").select("node", "weight", "gram", F.pmod(F.xxhash64("node"), F.lit(SALT)).alias("salt")).distinct()
+    lead = hot.groupBy("gram", "salt").agg(F.min("node").alias("leader")).groupBy("gram").agg(F.min("leader").alias("leader"))
+    lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    warm = hot.join(lead, ["gram", "salt"]).select("node", "leader", "weight")
+    return stored(cold.unionByName(warm).distinct(), "op8-led")
+
+
+def in_reach(t: float, size: np.ndarray, maps: list[np.ndarray], once: Once):
+    """(i, others) by rising size: pairs to be looked at here whose sizes and bitmaps allow similarity t."""
+    by = np.argsort(size, kind="stable")
+    width = np.array([len(m) for m in maps])
+    blocks = []
+    for w in np.unique(width):
+        own = by[width[by] == w]
+        blocks += [own[i : i + BLOCK] for i in range(0, len(own), BLOCK)]
+    stacks = [np.stack([maps[i] for i in x]) for x in blocks]
+    for n1, (x1, m1) in enumerate(zip(blocks, stacks)):
+        for n2 in range(n1, len(blocks)):
+            x2 = blocks[n2]
+            if size[x1[-1]] < t * size[x2[0]]:
+                continue
+            m2 = folded(stacks[n2], m1.shape[1] * 64)
+            for p, i in enumerate(x1):
+                q = p + 1 if n1 == n2 else 0
+                if q >= len(x2):
+                    continue
+                apart = np.bitwise_count(m2[q:] ^ m1[p]).sum(axis=1, dtype=np.int64)
+                total = size[x2[q:]] + size[i]
+                most = np.minimum((total - apart) // 2, np.minimum(size[x2[q:]], size[i]))
+                some = once.of(i, x2[q:][most >= t * (total - most)])
+                if len(some):
+                    yield i, some
+
+
+SURVIVOR = "leader long, lo int, hi int, side int, before array<long>, node long, size int"
+
+
+def _bounded(t: float):
+    """The nodes of each tile with a pair that its bitmaps allow."""
 
     def run(batches):
-        for b in batches:
-            grams = [ngrams(x, n).tobytes() for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("leader"), b.column("doc"), b.column("partners").cast(pa.list_(pa.int64())), pa.array(grams, pa.binary())], schema=schema)
+        for tile in each_tile(batches):
+            size = tile.column("size").to_numpy().astype(np.int64)
+            alive = np.zeros(len(size), bool)
+            for i, some in in_reach(t, size, [np.frombuffer(x, U64) for x in tile.column("bits").to_pylist()], Once(tile)):
+                alive[i] = alive[some] = True
+            if alive.any():
+                yield from tile.select(["leader", "lo", "hi", "side", "before", "node", "size"]).filter(pa.array(alive)).combine_chunks().to_batches()
 
     return run
 
 
 def _exact(t: float):
-    schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+    """Links of each tile by the intersection of the sorted arrays."""
 
     def run(batches):
-        groups = defaultdict(dict)
-        for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("leader", "doc", "partners", "grams")}
-            for lead, doc, partners, grams in zip(c["leader"], c["doc"], c["partners"], c["grams"]):
-                groups[lead][doc] = (np.frombuffer(grams, U64), partners)
-        out = [[], [], []]
-        for members in groups.values():
-            union = np.unique(np.concatenate([g for g, _ in members.values()]))
-            place = {d: np.searchsorted(union, g) for d, (g, _) in members.items()}
+        for tile in each_tile(batches):
+            node = tile.column("node").to_numpy()
+            _, first = np.unique(node, return_index=True)
+            if len(first) < len(node):  # a document's row that is repeated
+                tile = tile.take(pa.array(first))
+                node = node[first]
+            grams = [np.frombuffer(x, U64) for x in tile.column("grams").to_pylist()]
+            size = np.array([len(g) for g in grams])
+            union = np.unique(np.concatenate(grams))
+            place = [np.searchsorted(union, g) for g in grams]
             mark = np.zeros(len(union), np.int32)
-            for a, (g, partners) in members.items():
-                if not partners:
-                    continue
-                mark[place[a]] = 1
-                for i in range(0, len(partners), BLOCK):
-                    some = partners[i : i + BLOCK]
-                    sizes = np.array([len(place[b]) for b in some])
-                    at = np.r_[0, np.cumsum(sizes)[:-1]]
-                    inter = np.add.reduceat(mark[np.concatenate([place[b] for b in some])], at)
-                    j = inter / (sizes + len(g) - inter)
-                    for k in np.flatnonzero(j >= t):
-                        out[0].append(a)
-                        out[1].append(some[k])
-                        out[2].append(np.floor(j[k] * 1e6 + 0.5) / 1e6)
-                mark[place[a]] = 0
-        if out[0]:
-            yield from in_chunks(out, ["doc_a", "doc_b", "jaccard"], schema)
+            links = Links(node)
+            for i, some in in_reach(t, size, [bitmap(g) for g in grams], Once(tile)):
+                mark[place[i]] = 1
+                inter = np.add.reduceat(mark[np.concatenate([place[j] for j in some])], np.r_[0, np.cumsum(size[some])[:-1]])
+                mark[place[i]] = 0
+                links.add(i, some[inter / (size[some] + size[i] - inter) >= t])
+            yield from in_chunks(list(links.rows()), LINK_SCHEMA.names, LINK_SCHEMA)
 
     return run
 
 
-def jaccard_pairs(docs: DataFrame, t: float = T, n: int = N) -> DataFrame:
-    """Rows (doc_a, doc_b, jaccard): a copy with the smallest id of its set, and all similar pairs of those ids."""
+def _grams(n: int):
+    schema = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ngrams(x, n).tobytes() for x in b.column(1).to_pylist()], pa.binary())], schema=schema)
+
+    return run
+
+
+def linked(docs: DataFrame, t: float = T, n: int = N) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, text_hash, node) of documents with words, (node, links, root) of sets with links)."""
     sig = stored(signatures(docs, n), "op8-signatures")
-    sets = sig.groupBy("set_hash", "size").agg(F.min("doc_id").alias("doc"))
-    copies = (
-        sig.select("doc_id", "set_hash", "size").join(sets, ["set_hash", "size"]).where("doc_id <> doc")
-        .select(F.col("doc").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    )
-    one = sig.groupBy("set_hash", "size").agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-    one = stored(one.select("doc", "size", "keys", "bits"), "op8-sets")
-    tiles = one.select("doc", "size", F.explode("keys").alias("key")).repartition("key")
-    led = arrow_map(tiles, _leaders(t), "doc long, leader long")
-    led = led.groupBy("doc").agg(F.collect_set("leader").alias("leaders"))
-    under = one.select("doc", "size", "bits").join(led, "doc").select(F.explode("leaders").alias("leader"), "doc", "size", "bits", "leaders")
-    pairs = stored(arrow_map(under.repartition("leader"), _bounded(t), "leader long, a long, b long"), "op8-candidates")
-    ends = pairs.select("leader", F.col("a").alias("doc"), F.col("b").alias("partner")).unionByName(pairs.select("leader", F.col("b").alias("doc"), F.lit(None).cast("long").alias("partner")))
-    ends = ends.groupBy("leader", "doc").agg(F.collect_list("partner").alias("partners"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null and text is not null")
-    grams = arrow_map(text.join(ends, "doc").select("leader", "doc", "partners", "text"), _grams_of(n), "leader long, doc long, partners array<long>, grams binary")
-    near = arrow_map(grams.repartition("leader"), _exact(t), "doc_a long, doc_b long, jaccard double")
-    return near.unionByName(copies)
-
-
-def _forest(batches):
-    """A spanning star of each component that a partition's edges form: fewer edges to shuffle, the same components."""
-    u, v = columns(batches, ["u", "v"])
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while (p := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(p, p)
-        return x
-
-    for a, b in zip(u.tolist(), v.tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    ends = [(x, root(x)) for x in list(parent)]
-    ends = [(x, r) for x, r in ends if x != r]
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    if ends:
-        yield from in_chunks([[x for x, _ in ends], [r for _, r in ends]], ["u", "v"], schema)
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(doc, root) of every document in a pair: root is the smallest id of its connected component.
-
-    Alternates large-star and small-star steps until nothing changes; each round's edges are a stored table.
-    """
-    edges = pairs.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v")
-    edges = stored(arrow_map(edges, _forest, "u long, v long").distinct(), "components")
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = small.groupBy("u").agg(F.min("v").alias("m"))
-        joined = small.join(low, "u")
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        after = stored(out.where("u <> v").distinct(), "components")
-        moved = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
-        edges = after
-        if not moved:
-            return edges.select(F.col("u").alias("doc"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("root")).distinct())
+    named = sig.where("node is not null")
+    sets = named.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    members = groups(candidates(docs, sig, t, n)).join(sets.select("node", "size", "bits"), "node")
+    alive = stored(arrow_map(tiled(members), _bounded(t), SURVIVOR), "op8-survivors")
+    wanted = alive.select("node").distinct().join(sets.select("node", F.col("at.doc_id").alias("_lw_doc"), F.col("at.text_hash").alias("_lw_text")), "node")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text").where("doc is not null and text is not null")
+    grams = arrow_map(text.join(wanted, (F.col("doc") == F.col("_lw_doc")) & (F.col("hash") == F.col("_lw_text"))).select("node", "text"), _grams(n), "node long, grams binary")
+    each = alive.drop("size").join(grams, "node").repartition(*KEY).sortWithinPartitions(*KEY)
+    links = stored(arrow_map(each.select("leader", "lo", "hi", "side", "before", "node", "grams"), _exact(t), LINKS), "op8-links")
+    return named.select("doc_id", "text_hash", "node"), classes(links)
+
+
+def jaccard_classes(docs: DataFrame, t: float = T, n: int = N) -> DataFrame:
+    """(doc_id, class_id, copies, links): other documents of the same set, and other sets of similarity >= t."""
+    named, found = linked(docs, t, n)
+    own = named.select("doc_id", "node").distinct().join(found, "node", "left").select("doc_id", "node", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    own = stored(own, "op8-classes")
+    least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    size = own.groupBy("node").agg((F.count("*") - 1).alias("copies"))
+    worded = own.join(least, "root").join(size, "node").select("doc_id", "class_id", "copies", "links")
+    blank = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[\p{L}\p{N}_]"))
+    return worded.unionByName(blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("links")).distinct())
 
 
 def keep_one(docs: DataFrame, t: float = T, n: int = N) -> DataFrame:
-    """docs without near copies: of each connected group of similar documents the one with the smallest id stays.
+    """docs without near copies: of each class the document with the smallest id stays, and of its texts the one of the smallest hash.
 
-    Rows with a null id or a text without words are in no group and stay.  Of identical rows one stays.
+    Rows with a null id or a text without words are in no class and stay.  Of
+    rows equal in id and text one stays: that of the smallest hash of its
+    other columns (maps left out).
     """
-    pairs = stored(jaccard_pairs(docs, t, n), "op8-pairs")
-    drop = components(pairs).where("doc <> root").select(F.col("doc").alias("_lw_doc"))
-    kept = docs.join(drop, docs["doc_id"].cast("long") == drop["_lw_doc"], "left_anti")
+    named, found = linked(docs, t, n)
+    own = stored(named.join(found.select("node", "root"), "node", "left").groupBy("doc_id", "text_hash").agg(F.min(F.coalesce("root", "node")).alias("root"), F.count("*").alias("n")), "op8-rows")
+    first = own.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
+    other = own.join(first, "root").where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("text_hash") != F.col("at.text_hash")) | (F.col("n") > 1))
+    gone = other.select(F.col("doc_id").alias("_lw_doc"), F.col("text_hash").alias("_lw_text"))
+    again = own.join(first, "root").where((F.col("doc_id") == F.col("at.doc_id")) & (F.col("text_hash") == F.col("at.text_hash")) & (F.col("n") > 1)).select(F.col("doc_id").alias("_lw_doc"), F.col("text_hash").alias("_lw_text"))
+    same = lambda x: (docs["doc_id"].cast("long") == x["_lw_doc"]) & (F.xxhash64(docs["text"]) == x["_lw_text"])
     cols = docs.columns
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.select(*cols).unionByName(kept.where("doc_id is null").select(*cols))
+    once = docs.join(gone, same(gone), "left_anti")
+    plain = [c for c in cols if "map<" not in docs.schema[c].dataType.simpleString()]
+    each = docs.join(again, same(again), "left_semi").select("doc_id", "text", F.struct(*cols).alias("_lw_row"), F.xxhash64(*plain).alias("_lw_h"))
+    each = each.groupBy("doc_id", "text").agg(F.min_by("_lw_row", "_lw_h").alias("_lw_row"))
+    return once.unionByName(each.select(*[F.col("_lw_row")[c].alias(c) for c in cols]))
 
 
 def oracle(t: float = T, n: int = N) -> str:
     gram = " || ' ' || ".join(f"list_extract(ws, i + {j})" for j in range(n))
     return f"""
-with w as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as ws from documents where doc_id is not null and text is not null),
-d as (select doc_id, list_sort(list_distinct(case when len(ws) < {n} then [array_to_string(ws, ' ')]
+with recursive w as (select distinct doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') as ws from documents where doc_id is not null and text is not null),
+d as (select distinct doc_id, list_sort(list_distinct(case when len(ws) < {n} then [array_to_string(ws, ' ')]
         else list_transform(range(1, len(ws) - {n - 2}), lambda i: {gram}) end)) as g from w where len(ws) > 0),
-c as (select doc_id, g, min(doc_id) over (partition by g) as rep from d),
-e as (select doc_id, len(g) as n, unnest(g) as gram from c where doc_id = rep),
-p as (select x.doc_id as a, y.doc_id as b, x.n as na, y.n as nb, count(*) as k from e x join e y on x.gram = y.gram and x.doc_id < y.doc_id group by all)
-select a as doc_a, b as doc_b, round(k / (na + nb - k)::double, 6) as jaccard from p where k / (na + nb - k)::double >= {t}
+c as (select doc_id, min(doc_id) over (partition by g) as rep, count(*) over (partition by g) - 1 as copies, g from d),
+e as (select rep, len(g) as n, unnest(g) as gram from (select distinct rep, g from c)),
+p as (select x.rep as a, y.rep as b, x.n as na, y.n as nb, count(*) as k from e x join e y on x.gram = y.gram and x.rep <> y.rep group by all),
+l as (select a, b from p where k / (na + nb - k)::double >= {t}),
+r(rep, root) as (select distinct rep, rep from c union select l.b, r.root from r join l on l.a = r.rep),
+m as (select rep, min(root) as class_id from r group by rep)
+select c.doc_id, m.class_id, c.copies, (select count(*) from l where l.a = c.rep) as links from c join m using (rep)
 union all
-select distinct rep as doc_a, doc_id as doc_b, 1.0::double as jaccard from c where doc_id <> rep"""
+select distinct doc_id, doc_id as class_id, 0 as copies, 0 as links from documents where doc_id is not null and not regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]')"""

@@ -13,7 +13,7 @@ QUERIES = {
     "op5_mixing": lambda spark, d: op5_mixing.mixed(scan(d, "documents", spark)),
     "op6_syncmers": lambda spark, d: op6_syncmers.fingerprints(scan(d, "documents", spark)),
     "op7_embedding_dedup": lambda spark, d: op7_embeddings.deduplicated(scan(d, "embeddings", spark)),
-    "op8_jaccard_join": lambda spark, d: op8_jaccard.jaccard_pairs(scan(d, "documents", spark)),
+    "op8_jaccard_join": lambda spark, d: op8_jaccard.jaccard_classes(scan(d, "documents", spark)),
     "op9_bpe": lambda spark, d: op9_bpe.encoded(scan(d, "documents", spark)),
     "op10_html_content": lambda spark, d: op10_html.contents(scan(d, "pages", spark)),
 }

@@ -10,6 +10,7 @@ from latticework.llm import op3_substring as sub
 from latticework.llm import op6_syncmers as syn
 from latticework.llm import op7_embeddings as emb
 from latticework.llm import op8_jaccard as jac
+from latticework.llm import tiles
 from latticework.llm.common import word_hashes
 
 from .conftest import rows
@@ -54,39 +55,88 @@ def brute_pairs(docs, t=0.5):
     return out
 
 
+def brute_classes(docs, t=0.5):
+    """(doc_id, class_id, copies, links) of documents with words, an id with several sets in several rows."""
+    named = {(i, frozenset(grams(x))) for i, x in docs if x is not None and i is not None and WORD.findall(x)}
+    sets = {s for _, s in named}
+    near = {s: [o for o in sets if o != s and len(s & o) / len(s | o) >= t] for s in sets}
+    label, out = {}, []
+    for s in sets:
+        todo = [s] if s not in label else []
+        while todo:
+            x = todo.pop()
+            if x not in label:
+                label[x] = s
+                todo += near[x]
+    for i, s in named:
+        out.append((i, min(j for j, o in named if label[o] == label[s]), sum(o == s for _, o in named) - 1, len(near[s])))
+    out += {(i, i, 0, 0) for i, x in docs if i is not None and not (x and WORD.findall(x))}
+    return sorted(out)
+
+
+def classes(make, docs, **kw):
+    return sorted(tuple(r) for r in jac.jaccard_classes(make(docs, **kw)).collect())
+
+
 def test_jaccard_equals_brute_force(make):
     docs = corpus()
-    got = {(a, b, round(j, 6)) for a, b, j in rows(jac.jaccard_pairs(make(docs)))}
-    assert got == brute_pairs(docs)
+    assert classes(make, docs) == brute_classes(docs)
 
 
-def test_jaccard_recall_over_many_random_pairs(make):
-    rng = random.Random(5)
+def borderline(rng, n):
+    """Pairs of texts whose similarity lies about the threshold."""
     docs = []
-    for i in range(120):
-        base = text(rng, 80).split()
+    for i in range(n):
+        base = text(rng, rng.randrange(8, 80)).split()
         other = list(base)
-        for _ in range(rng.randrange(0, 12)):
-            other[rng.randrange(len(other))] = "q"
-        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
-    want, got = brute_pairs(docs), {(a, b, round(j, 6)) for a, b, j in rows(jac.jaccard_pairs(make(docs)))}
-    assert got <= want and len(got) >= 0.98 * len(want)
-
-
-def test_jaccard_hot_group(make):
-    """A group of copies and near copies of one text: all pairs of distinct sets, one row a copy."""
+        for _ in range(round(len(base) * rng.uniform(0.05, 0.2))):
+            other[rng.randrange(len(other))] = f"q{rng.randrange(9)}"
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other[: rng.randrange(len(other) // 2, len(other) + 1)]))]
+    return docs
+
+
+def test_jaccard_loses_no_pair_about_the_threshold(make):
+    docs = borderline(random.Random(5), 1500)
+    pairs = [len(grams(docs[i][1]) & grams(docs[i + 1][1])) / len(grams(docs[i][1]) | grams(docs[i + 1][1])) for i in range(0, len(docs), 2)]
+    got = {r[0]: r for r in classes(make, docs)}
+    for i, j in enumerate(pairs):
+        if 0 < j < 1:
+            assert (got[2 * i + 1][1] == 2 * i and got[2 * i][3] == 1) == (j >= 0.5), (i, j)
+    assert sum(0.5 <= j <= 0.55 for j in pairs) > 30
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 3])
+def test_jaccard_hot_group(make, monkeypatch, hot):
+    """Copies and near copies of one text, in one tile and in many, with cold and with hot n-grams."""
+    monkeypatch.setattr(jac, "HOT", hot)
+    monkeypatch.setattr(tiles, "NODES", 8 if hot == 3 else 2048)
     rng = random.Random(3)
     base = text(rng, 60).split()
     docs = [(i, " ".join(base)) for i in range(40)]
-    docs += [(100 + i, " ".join([*base[:-1], f"end{i}"])) for i in range(30)]
-    got = rows(jac.jaccard_pairs(make(docs)))
-    assert len(got) == len({r[:2] for r in got}) == 39 + 31 * 30 // 2
+    docs += [(100 + i, " ".join([*base[: -1 - i % 3], f"end{i}"])) for i in range(60)] + [(200 + i, x) for i, (_, x) in enumerate(corpus(4, 12))]
+    assert classes(make, docs) == brute_classes(docs)
 
 
 def test_jaccard_odd_inputs(make, spark):
     docs = [(1, None), (None, "a b c d"), (2, ""), (3, "!!! ..."), (4, "one"), (5, "ONE"), (6, "a b c d"), (6, "a b c d"), (7, "a b c d"), (8, "x " * 30_000)]
-    assert rows(jac.jaccard_pairs(make(docs, extra=True))) == [(4, 5, 1.0), (6, 7, 1.0)]
-    assert rows(jac.jaccard_pairs(make([]))) == []
+    assert classes(make, docs, extra=True) == brute_classes(docs)
+    assert classes(make, []) == []
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_jaccard_one_id_on_two_texts(make, turned):
+    rng = random.Random(7)
+    a, b = text(rng, 60), text(rng, 60)
+    docs = [(1, a), (5, a + " tail"), (5, b)]
+    docs = docs[::-1] if turned else docs
+    assert classes(make, docs) == [(1, 1, 0, 1), (5, 1, 0, 1), (5, 5, 0, 0)]
+    assert sorted((r.doc_id, r.text) for r in jac.keep_one(make(docs)).collect()) == [(1, a), (5, b)]
+
+
+def test_keep_one_of_rows_equal_in_id_and_text(make):
+    df = make([(1, "a b c d"), (2, "e f g h")]).unionByName(make([(1, "a b c d")], source="t"))
+    kept = [sorted(map(tuple, jac.keep_one(x).collect())) for x in (df, df.orderBy("source"), df.orderBy("source", ascending=False))]
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, 2]
 
 
 def test_bitmap_bound_holds():
@@ -119,7 +169,7 @@ def test_keep_one_keeps_the_least_of_each_connected_group(make):
 
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "doc_a long, doc_b long")
-    got = dict(jac.components(pairs).collect())
+    got = dict(tiles.components(pairs).collect())
     assert set(got) == {*range(201), 1000, 1001} and all(got[i] == 0 for i in range(201)) and got[1001] == 1000
 
 

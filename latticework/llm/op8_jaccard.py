@@ -36,10 +36,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, columns, in_chunks, mix, runs, stored, window_hash, word_hashes
+from .common import U64, WORD, arrow_map, distinct, in_chunks, lowered, mix, runs, stored, window_hash, word_keys
 from .tiles import KEY, LINK_SCHEMA, LINKS, Links, Once, classes, components, each_tile, groups, tiled  # noqa: F401 (components is for op7)
 
 N, T = 3, 0.5
@@ -51,10 +51,10 @@ SALT = 64
 
 def ngrams(text: str, n: int = N) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of a text."""
-    w = word_hashes(text)
+    w = word_keys.array(WORD.findall(lowered(text)))
     if not len(w):
         return np.zeros(0, U64)
-    return np.unique(mix(window_hash(w, min(n, len(w)))))
+    return distinct(mix(window_hash(w, min(n, len(w)))))
 
 
 def set_hash(grams: np.ndarray) -> int:

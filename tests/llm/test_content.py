@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from latticework.llm import op1_secrets as sec
 from latticework.llm import op2_quality as qua
@@ -94,30 +95,79 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert np.mean([abs(p - q) for p, q in truth]) < 0.12  # calibrated probabilities stay near the labels
 
 
-def test_context_sums_equal_brute_force():
-    rng = np.random.default_rng(0)
-    parts = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 2, 7, 40)]
-    plus, count = np.zeros((qua.BUCKETS + 1) * qua.WIDTH, np.int64), np.zeros(qua.BUCKETS + 1, np.int64)
-    qua.add_contexts(parts, plus, count)
-    want = np.zeros((qua.BUCKETS, qua.DIM), np.int64)
-    index = np.zeros((qua.BUCKETS, qua.DIM), np.int64)
-    for b in range(50):
-        index[b, qua.PLACES[b, :2]] += 1
-        index[b, qua.PLACES[b, 2:]] -= 1
-    for p in parts:
-        for i in range(len(p)):
-            for j in range(max(0, i - qua.REACH), min(len(p), i + qua.REACH + 1)):
+def brute_sums(docs):
+    """Token -> (count, context sums) by plain loops over all documents."""
+    out = {}
+    for t in docs:
+        w = qua.TOKEN.findall(t or "")
+        for i, x in enumerate(w):
+            own = out.setdefault(x, [0, np.zeros(qua.DIM, int)])
+            own[0] += 1
+            for j in range(max(0, i - qua.REACH), min(len(w), i + qua.REACH + 1)):
                 if i != j:
-                    want[p[i]] += index[p[j]]
-    assert (plus.reshape(-1, qua.WIDTH)[: qua.BUCKETS, : qua.DIM] == want).all()
-    assert (count[:50] == np.bincount(np.concatenate(parts), minlength=50)).all()
-    assert (qua._unpack(qua._pack(np.c_[count[:256], want[:256]])) == np.c_[count[:256], want[:256]]).all()
+                    (at,) = qua.index_places(np.array([xxhash.xxh3_64_intdigest(w[j].encode())], np.uint64))
+                    own[1][at[:2]] += 1
+                    own[1][at[2:]] -= 1
+    return out
+
+
+def brute_features(docs):
+    """FEATURES numbers of each text by plain loops."""
+    sums, chars, out = brute_sums(docs), sum(len(t or "") for t in docs), []
+    unit = {k: v / max(np.linalg.norm(v), 1e-9) for k, (_, v) in sums.items()}
+    weight = {k: qua.SIF / (qua.SIF + n * qua.TOKEN_CHARS / chars) for k, (n, _) in sums.items()}
+    for t in docs:
+        w = qua.TOKEN.findall(t or "")
+        mean = sum((unit[x] for x in w), np.zeros(qua.DIM)) / max(1, len(w))
+        rare = sum((unit[x] * weight[x] for x in w), np.zeros(qua.DIM)) / max(1e-9, sum(weight[x] for x in w))
+        pairs = list(zip(w, w[1:]))
+        rest = [np.linalg.norm(mean), np.linalg.norm(rare), sum(unit[x] @ unit[y] for x, y in pairs) / max(1, len(pairs)), np.log1p(len(w)), sum(x == y for x, y in pairs) / max(1, len(pairs))]
+        out.append(np.r_[mean, rare, rest])
+    return np.array(out)
+
+
+@pytest.mark.parametrize("block", [32_000_000, 300])
+def test_quality_features_equal_brute_force(make, spark, monkeypatch, block):
+    """Word vectors over all documents, in one block a task or in many that share tokens."""
+    monkeypatch.setattr(qua, "BLOCK", block)
+    rng = random.Random(12)
+    docs = [" ".join(rng.choice(["the", "a", "of", *(f"w{rng.randrange(40)}" for _ in range(3)), "...", "x" * rng.randrange(1, 9)]) for _ in range(rng.randrange(0, 60))) for _ in range(50)] + [None, "", "same same same"]
+    got = {r.doc_id: np.frombuffer(bytes(r.features), np.float32) for r in qua.featured(make(list(enumerate(docs))).repartition(3)).collect()}
+    assert np.allclose([got[i] for i in range(len(docs))], brute_features(docs), atol=2e-4)
+
+
+def test_quality_query_equals_a_network_on_brute_force_features(make, spark):
+    rng = random.Random(13)
+    good, bad = "the house and garden of the old town near a river".split(), "zx qq !! zx 99 zz qq ## click".split()
+    docs = [" ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randrange(5, 40))) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    x = brute_features(docs).astype(np.float32).astype(float)
+    network = qua.Network(x[:80], np.array([float(i % 2) for i in range(80)]))
+    got = {r.doc_id: r for r in qua.scored(make(list(enumerate(docs))), labels).collect()}
+    assert np.allclose([got[i].probability for i in range(120)], network.probabilities(x), atol=0.02)
+    assert sum(got[i].quality == i % 2 for i in range(80, 120)) >= 38
+
+
+def test_network_layers_and_temperature():
+    """Gradients descend, logits are two layers' by hand, and no temperature of a grid calibrates better."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    net = qua.Network(x, y)
+    z = (x - net.mean) / net.std
+    by_hand = [float(sum(np.tanh(sum(a * w for a, w in zip(row, net.p[0][:, k])) + net.p[1][k]) * net.p[2][k] for k in range(qua.HIDDEN)) + net.p[3][0]) for row in z[:5]]
+    assert np.allclose(net.logits(x)[:5], by_hand)
+    assert np.allclose(net.probabilities(x), 1 / (1 + np.exp(-net.logits(x) / net.temperature)))
+    held = np.random.default_rng(0).permutation(400)[:100]
+    loss = lambda g: np.mean(np.logaddexp(0, net.logits(x[held]) / g) - y[held] * net.logits(x[held]) / g)
+    assert all(loss(net.temperature) <= loss(g) + 1e-3 for g in np.linspace(0.3, 9, 60))
+    assert np.mean((net.probabilities(x) > 0.5) == y) > 0.9
 
 
 def test_pooling_does_not_depend_on_pieces(monkeypatch):
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 99, n).astype(np.int32) for n in (5, 0, 300, 1, 77)]
-    v, w = rng.normal(size=(qua.BUCKETS, qua.DIM)).astype(np.float32), rng.random(qua.BUCKETS).astype(np.float32)
+    v, w = rng.normal(size=(99, qua.DIM)).astype(np.float32), rng.random(99).astype(np.float32)
     whole = qua.pooled(parts, v, w)
     monkeypatch.setattr(qua, "STEP", 16)
     assert np.allclose(qua.pooled(parts, v, w), whole, atol=1e-4)

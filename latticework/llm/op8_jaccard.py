@@ -5,11 +5,12 @@
    size band (a power of two).
 2. Candidates, complete at t: n-grams are ordered from rare to frequent, by a
    counting sketch of fixed size over all documents, and two sets of
-   similarity t share one among the first |x| - ceil(t |x|) + 1 of either (of
-   the smaller set among its first |y| - ceil(2t / (1 + t) |y|) + 1).  The
-   order decides how many candidates there are, never which pairs are found.
-   Sets that share such an n-gram and are linked by sizes within reach of one
-   another get the smallest of them as leader.
+   similarity t share one among the first |x| - ceil(t |x|) + 1 of either.  If
+   it is the first that they share and stands at place i of x, the overlap is
+   |x| - i at most, which limits the sizes of partners.  The order decides how
+   many candidates there are, never which pairs are found.  Sets that share
+   such an n-gram and are linked by sizes within their limits get the smallest
+   of them as leader, and that one's own smallest leader instead of it.
 3. Tiles under a leader (see tiles.py): blocks of one size band meet the bands
    in reach.  The bits in which two bitmaps differ are at most the elements in
    which the sets differ, so popcount(xor) bounds the overlap from above; sets
@@ -161,12 +162,16 @@ def order(sig: DataFrame) -> tuple[np.ndarray, int]:
     return levels, int(level(np.array([max(HOT, 4 * total // SKETCH)]))[0])
 
 
-def prefix(grams: np.ndarray, levels: np.ndarray, t: float) -> tuple[np.ndarray, int]:
-    """The rarest n-grams, one of which any set of similarity t shares; how many of them count when this is the smaller set."""
+def prefix(grams: np.ndarray, levels: np.ndarray, t: float) -> np.ndarray:
+    """The rarest n-grams, one of which any set of similarity t shares."""
     n = len(grams)
     rare = levels[(grams & U64(SKETCH - 1)).astype(np.int64)]
-    first = grams[np.argsort(rare, kind="stable")[: n - math.ceil(t * n - 1e-9) + 1]]
-    return first, n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1
+    return grams[np.argsort(rare, kind="stable")[: n - math.ceil(t * n - 1e-9) + 1]]
+
+
+def largest(size: np.ndarray, place: np.ndarray, t: float) -> np.ndarray:
+    """Size of the largest partner of similarity t of a set whose first shared n-gram stands at place / 256 of it."""
+    return np.floor(size * ((1 - place / 256) * (1 + t) / t - 1) + 1e-6)
 
 
 def _postings(t: float, n: int, parts: int, shared):
@@ -176,17 +181,17 @@ def _postings(t: float, n: int, parts: int, shared):
     def sent(held):
         first = np.concatenate([h[0] for h in held])
         doc = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
-        node, size = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int32)
-        small = np.concatenate([np.arange(len(h[0])) < h[1] for h in held])
+        node, size = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int32)
+        place = np.concatenate([(np.arange(len(h)) * 256 // n).astype(np.uint8) for h, _, n in held])
         hot = shared.value[0][(first & U64(SKETCH - 1)).astype(np.int64)] >= shared.value[1]
         part = ((first >> U64(40)) % U64(parts)).astype(np.int32)
         if hot.any():
             spread = ((node[doc[hot]].view(U64) * U64(0x9E3779B97F4A7C15) >> U64(33)) % U64(parts)).astype(np.int32)
             k = len(spread)
             yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(k, pa.binary()), pa.array(first[hot].view(np.int64)), pa.array(node[doc[hot]]), pa.array(size[doc[hot]])], schema=schema)
-            first, doc, small, part = first[~hot], doc[~hot], small[~hot], part[~hot]
+            first, doc, place, part = first[~hot], doc[~hot], place[~hot], part[~hot]
         o = np.argsort(part, kind="stable")
-        first, doc, small, part = first[o], doc[o], small[o], part[o]
+        first, doc, place, part = first[o], doc[o], place[o], part[o]
         start, count = runs(part)
         rows = [[], []]
         for s, c in zip(start.tolist(), count.tolist()):
@@ -199,7 +204,7 @@ def _postings(t: float, n: int, parts: int, shared):
             own = np.repeat(own, pieces)
             keys = np.ascontiguousarray(first[s : s + c]).view(np.uint8).reshape(-1, 8)[:, :5]
             rows[0].append(part[s])
-            rows[1].append(b"".join((len(own).to_bytes(4, "little"), node[own].tobytes(), size[own].tobytes(), each.tobytes(), np.packbits(small[s : s + c]).tobytes(), keys.tobytes())))
+            rows[1].append(b"".join((len(own).to_bytes(4, "little"), node[own].tobytes(), size[own].tobytes(), each.tobytes(), place[s : s + c].tobytes(), keys.tobytes())))
         k = len(rows[0])
         if k:
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), *(pa.nulls(k, f.type) for f in list(schema)[2:])], schema=schema)
@@ -212,8 +217,8 @@ def _postings(t: float, n: int, parts: int, shared):
                 if not len(g) or (node := set_hash(g)) in seen:
                     continue
                 seen.add(node)
-                first, small = prefix(g, shared.value[0], t)
-                held.append((first, small, node, len(g)))
+                first = prefix(g, shared.value[0], t)
+                held.append((first, node, len(g)))
                 many += len(first)
                 if many > HELD:
                     yield from sent(held)
@@ -230,30 +235,34 @@ def _unpack_postings(blob: bytes):
     size = np.frombuffer(blob, np.int32, k, 4 + 8 * k)
     each = np.frombuffer(blob, np.uint8, k, 4 + 12 * k).astype(np.int64)
     n = int(each.sum())
-    small = np.unpackbits(np.frombuffer(blob, np.uint8, -(-n // 8), 4 + 13 * k), count=n).astype(bool)
+    place = np.frombuffer(blob, np.uint8, n, 4 + 13 * k)
     key = np.zeros((n, 8), np.uint8)
-    key[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 4 + 13 * k + -(-n // 8)).reshape(n, 5)
-    return key.view(U64).ravel(), np.repeat(node, each), np.repeat(size, each), small
+    key[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 4 + 13 * k + n).reshape(n, 5)
+    return key.view(U64).ravel(), np.repeat(node, each), np.repeat(size, each), place
 
 
-def led_by(key, node, size, small, t: float):
-    """(node, leader, size), distinct: leaders of the chains of sizes within reach that share a key."""
+def led_by(key, node, size, place, t: float):
+    """(node, leader, size), distinct: leaders of the chains of sizes within their limits that share a key."""
     o = np.argsort(key)
-    key, node, size, small = key[o], node[o], size[o], small[o]
-    start, count = runs(key)
-    many = np.repeat(count > 1, count)
-    key, node, size, small = key[many], node[many], size[many], small[many]
-    o = np.lexsort((node, size, key))
-    key, node, size, small = key[o], node[o], size[o], small[o]
+    key, node, size, place = key[o], node[o], size[o], place[o]
+    for again in (False, True):  # lone ones go, then those too small for all others, then lone ones again
+        start, count = runs(key)
+        keep = np.repeat(count > 1, count)
+        if not again and len(start):
+            keep &= largest(size, place, t) >= np.repeat(np.minimum.reduceat(size, start), count)
+        key, node, size, place = key[keep], node[keep], size[keep], place[keep]
+    o = np.lexsort((place, node, size, key))
+    key, node, size, place = key[o], node[o], size[o], place[o]
     once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.zeros(0, bool)
-    key, node, size, small = key[once], node[once], size[once], small[once]
+    key, node, size, place = key[once], node[once], size[once], place[once]
     if not len(key):
         return key.astype(np.int64), node, size
-    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (size[:-1] < t * size[1:])])
+    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) * float(1 << 32)
+    reach = np.maximum.accumulate(run + largest(size, place, t))  # of all before, within a key
+    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (reach[:-1] < run[1:] + size[1:])])
     count = np.diff(np.r_[start, len(key)])
-    good = (count > 1) & np.logical_or.reduceat(small, start)
     leader = np.repeat(np.minimum.reduceat(node, start), count)
-    keep = np.repeat(good, count)
+    keep = np.repeat(count > 1, count)
     node, leader, size = node[keep], leader[keep], size[keep]
     o = np.lexsort((leader, node))
     node, leader, size = node[o], leader[o], size[o]
@@ -294,7 +303,9 @@ def candidates(docs: DataFrame, sig: DataFrame, t: float = T, n: int = N) -> Dat
     lead = hot.groupBy("gram", "salt").agg(F.min("node").alias("leader")).groupBy("gram").agg(F.min("leader").alias("leader"))
     lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     warm = hot.join(lead, ["gram", "salt"]).select("node", "leader", "weight")
-    return stored(cold.unionByName(warm).distinct(), "op8-led")
+    led = stored(cold.unionByName(warm).distinct(), "op8-led")
+    up = led.groupBy("node").agg(F.min("leader").alias("up")).withColumnRenamed("node", "leader")
+    return stored(led.join(up, "leader").select("node", F.col("up").alias("leader"), "weight").distinct(), "op8-groups")
 
 
 def in_reach(t: float, size: np.ndarray, maps: list[np.ndarray], once: Once):

@@ -5,15 +5,21 @@ the source end a line.  Each line's ratio is its visible characters over its
 tags (characters within links count only to the denominator's side: a line of
 link text has as many tags as links).  The sequence of ratios is smoothed with
 a Gaussian, and a one-dimensional two-means split of the smoothed values gives
-the threshold; lines at or above it, and at or above half the standard
-deviation, form the content.  A heading just above a content line goes with it.
+the threshold; lines at or above it form the content.  A line's score is its
+smoothed value, or twice its own where that is less: a line without text of its
+own isn't lifted by its neighbours.  A heading just above a content line goes
+with it.
 
 The parser is the standard library's, fed one page at a time without building
 a tree.  Script, style, template and comment content never counts.  Text in
 nav, footer, aside, button or select counts PENALTY of its ratio, unless the
 element holds most of the page's unlinked text.  An end tag ends what is open
 within its element; an element that only the page's end would end is taken for
-left open by mistake, and neither skips nor penalises what follows.
+left open by mistake, and neither skips nor penalises what follows.  A link
+ends with its own end tag, with the next link, or with the block that it stands
+in; one that ends otherwise than by its own tag is taken for left open, and its
+text for plain.  A tag or comment that the page cuts off is text, found without
+reading the rest of the page again for each.
 
 Defined results: a null page gives null content and counts; an empty page, or
 one without visible text, gives empty content; pages whose lines are all alike
@@ -26,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -58,7 +65,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool, int]] = []
         self.text: list[str] = []
-        self.tags = self.linked = self.in_link = self.skip = self.number = 0
+        self.tags = self.linked = self.links = self.depth = self.skip = self.number = 0
+        self.in_link = False
         self.heading = False
         self.ignored, self.unclosed = ignored, set()
         self.open: list[tuple[str, int]] = []
@@ -81,6 +89,13 @@ class Lines(HTMLParser):
             if tag in BOILERPLATE:
                 self.aside.append(self.number)
 
+    def link(self):
+        """A link begins, and ends one that was left open; links count with a number below 0."""
+        if self.in_link:
+            self.unclosed.add(-self.links)
+        self.links += 1
+        self.in_link, self.depth = -self.links not in self.ignored, len(self.open)
+
     def end(self, tag):
         """Ends the innermost element of that tag, and what is open within; "" ends all."""
         while self.open if not tag else self.count[tag]:
@@ -95,13 +110,16 @@ class Lines(HTMLParser):
                     self.unclosed.add(n)
             if t == tag:
                 break
+        if self.in_link and (len(self.open) < self.depth or not tag):
+            self.unclosed.add(-self.links)
+            self.in_link = False
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
         if tag == "a":
-            self.in_link += 1
+            self.link()
         elif tag in HEADINGS:
             self.heading = True
         if tag in FOLLOWED:
@@ -117,7 +135,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         if tag == "a":
-            self.in_link = max(0, self.in_link - 1)
+            self.in_link = False
         elif tag in HEADINGS:
             self.heading = False
         if tag in FOLLOWED:
@@ -159,8 +177,14 @@ def threshold(values: np.ndarray) -> float:
 
 def parsed(html: str, ignored: frozenset[int] = frozenset()) -> Lines:
     p = Lines(ignored)
-    p.feed(html)
+    closed = max(html.rfind("-->"), html.rfind("--!>"))
+    if (at := html.find("<!--", max(0, closed))) >= 0:
+        html = html[:at] + html[at:].replace("<!--", "&lt;!--")
+    whole = html.rfind(">") + 1
+    p.feed(html[:whole])
     p.close()
+    if not p.cdata_elem:
+        p.handle_data(unescape(html[whole:]))
     p.cut()
     p.end("")
     return p

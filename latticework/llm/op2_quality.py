@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, runs, stored
+from .common import U64, arrow_map, mix, runs, stored
 
 DIM, REACH, NONZERO = 32, 2, 4
 TRAIN_ROWS, MIN_ROWS = 4_000, 20
@@ -55,9 +55,9 @@ FEATURES = 2 * DIM + 5
 
 
 def index_places(hashes: np.ndarray) -> np.ndarray:
-    """Columns of the non-zero elements of tokens' index vectors: the first half +1, the others -1."""
+    """Columns of the non-zero elements of tokens' index vectors, by 24 bits of their hashes: the first half +1, the others -1."""
     left = np.tile(np.arange(DIM, dtype=np.int32), (len(hashes), 1))
-    h, rows = hashes.astype(U64), np.arange(len(hashes))
+    h, rows = mix((hashes.astype(U64) >> U64(40)) + U64(1)), np.arange(len(hashes))
     for k in range(NONZERO):  # the first steps of a shuffle
         other = k + ((h >> U64(12 * k)) % U64(DIM - k)).astype(np.int64)
         left[rows, k], left[rows, other] = left[rows, other], left[rows, k].copy()
@@ -95,8 +95,10 @@ def contexts(parts: list[np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes as they need, equal bytes of all together."""
-    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if not x.size or (x.max() <= np.iinfo(k).max and x.min() >= np.iinfo(k).min))
+    """Whole numbers, signs in the lowest bit, in as few bytes as they need, equal bytes of all together."""
+    x = x.astype(np.int64)
+    x = ((x << 1) ^ (x >> 63)).view(U64)
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, U64) if not x.size or x.max() <= np.iinfo(k).max)
     size = np.dtype(kind).itemsize
     planes = np.ascontiguousarray(np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(-1, size).T)
     return bytes([size]) + zstandard.ZstdCompressor(1).compress(planes.tobytes())
@@ -105,7 +107,8 @@ def _pack(x: np.ndarray) -> bytes:
 def _unpack(blob: bytes) -> np.ndarray:
     size = blob[0]
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view({1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[size]).ravel().astype(np.int64)
+    x = np.ascontiguousarray(planes.T).view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: U64}[size]).ravel().astype(U64)
+    return (x >> U64(1)).view(np.int64) ^ -(x & U64(1)).view(np.int64)
 
 
 class Block:
@@ -185,7 +188,7 @@ def _answers(batches):
 
 
 def _coded(n_parts: int):
-    """Blocks themselves: ids, sizes and codes, and the tokens' hashes."""
+    """Blocks themselves: ids, sizes and codes, and of the tokens' hashes what draws their index vectors."""
 
     def run(batches):
         for ids, texts in _blocks(batches):
@@ -197,7 +200,8 @@ def _coded(n_parts: int):
             rank[often] = np.arange(len(often))
             codes = _pack(rank[np.concatenate(block.parts)])
             rest = _pack(often)
-            c = len(rest).to_bytes(8, "little") + rest + block.hashes.tobytes()
+            many = np.bincount(block.part, minlength=n_parts)
+            c = len(rest).to_bytes(8, "little") + rest + many.tobytes() + block.hashes.view(np.uint8).reshape(-1, 8)[:, 5:].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block.number, -1, a, codes, c), _row)], schema=_row)
 
     return run
@@ -222,12 +226,14 @@ def _features(n_parts: int, chars: int):
             n = int.from_bytes(a[:8], "little")
             ids, null, size = np.frombuffer(a, np.int64, n, 8), np.frombuffer(a, bool, n, 8 + 8 * n), np.frombuffer(a, np.int64, n, 8 + 9 * n)
             k = int.from_bytes(c[:8], "little")
-            often, hashes = _unpack(c[8 : 8 + k]), np.frombuffer(c, U64, offset=8 + k)
+            often, first = _unpack(c[8 : 8 + k]), np.cumsum(np.frombuffer(c, np.int64, n_parts, 8 + k))
+            hashes = np.zeros((len(often), 8), np.uint8)
+            hashes[:, 5:] = np.frombuffer(c, np.uint8, offset=8 + k + 8 * n_parts).reshape(-1, 3)
+            hashes = hashes.view(U64).ravel()
             codes = np.split(often[_unpack(b)] if len(often) else np.zeros(0, np.int64), np.cumsum(size)[:-1])
             count, sums = contexts(codes, hashes)
-            part = (hashes % U64(n_parts)).astype(np.int64)
             for p, (at, own, total) in answers.get(block, {}).items():
-                at = np.searchsorted(part, p) + np.cumsum(_unpack(at))
+                at = (first[p - 1] if p else 0) + np.cumsum(_unpack(at))
                 count[at], sums[at] = _unpack(own), _unpack(total).reshape(-1, DIM)
             x = pooled(codes, *unit_vectors(count, sums, chars)).astype(np.float32)
             for i in range(0, n, 2000):

@@ -1,7 +1,10 @@
 """Secrets, quality, languages, mixing, BPE, HTML: against brute force, round trips and held-out labels."""
 
+import math
 import random
+import re
 import string
+import time
 from collections import Counter
 
 import duckdb
@@ -417,3 +420,58 @@ def test_mixing_sql_is_valid(sf_dir):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
     assert con.sql(mix.oracle()).fetchall()
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="', "<a href='x", "<!-- x --", "<style x", "<div><a>", "<p><a href=x>word ", "<title>", "<![CDATA["])
+@pytest.mark.parametrize("tail", ["", ">"])
+def test_html_floods_take_linear_time(piece, tail):
+    began = time.perf_counter()
+    htm.extract(piece * (240_000 // len(piece)) + tail)
+    assert time.perf_counter() - began < 15
+
+
+def test_html_links_left_open_take_no_text():
+    article = "".join(f"<p>{'word ' * 40}number {i}.</p>" for i in range(6))
+    for page in (f"<ul><li><a href=x>home<li><a href=y>news</ul>{article}", f"<div><a href=x>home</div>{article}", f"<p><a href=x>home{article}"):
+        content = htm.extract(page)[0]
+        assert all(f"number {i}." in content for i in range(6)), page
+
+
+def test_html_query_equals_plain_loops(make, spark):
+    """Lines by a plain scan of simple markup, ratios, Gaussian and split by loops, for whole pages."""
+    rng = random.Random(21)
+    pages = []
+    for i in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 25)):
+            n, links = rng.randrange(0, 40), rng.randrange(0, 4)
+            parts.append("<p>" + "<b></b>" * rng.randrange(3) + "".join(f"<a>l{k}</a> " for k in range(links)) + "word " * n + "</p>")
+        pages.append((i, "".join(parts)))
+    got = {r.page_id: (r.content, r.n_lines, r.content_lines) for r in htm.contents(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    for i, page in pages:
+        lines, tags = [], 0
+        for part in page.split("<p>")[1:]:
+            tags += 1
+            inner = part[: -len("</p>")]
+            text = re.sub(r"\s+", " ", re.sub("<[^>]*>", "", inner)).strip()
+            tags += inner.count("<") + 1
+            linked = sum(len(x) for x in re.findall("<a>(.*?)</a>", inner))
+            if text:
+                lines.append((text, max(0, len(text) - linked) / max(1, tags)))
+                tags = 0
+        if not lines:
+            assert got[i] == ("", 0, 0)
+            continue
+        v = [math.log1p(r) for _, r in lines]
+        g = lambda d: math.exp(-0.5 * (d / htm.SIGMA) ** 2)
+        dense = [round(sum(g(k - j) * v[j] for j in range(len(v)) if abs(k - j) <= 3) / sum(g(k - j) for j in range(len(v)) if abs(k - j) <= 3), 9) for k in range(len(v))]
+        score = [min(d, 2 * x) for d, x in zip(dense, v)]
+        order, best = sorted(score), None
+        for cut in range(1, len(order)):
+            if order[cut] != order[cut - 1]:
+                spread = sum(sum((x - sum(side) / len(side)) ** 2 for x in side) for side in (order[:cut], order[cut:]))
+                if best is None or spread < best[0] - 1e-12:
+                    best = spread, (order[cut - 1] + order[cut]) / 2
+        limit = min(best[1] if best else order[0], max(score))
+        kept = [t for (t, _), x in zip(lines, score) if x >= limit]
+        assert got[i] == ("\n".join(kept), len(lines), len(kept)), i

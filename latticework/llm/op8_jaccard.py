@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WORD, arrow_map, distinct, in_chunks, lowered, mix, runs, stored, window_hash, word_keys
-from .tiles import KEY, LINK_SCHEMA, LINKS, Links, Once, classes, components, each_tile, groups, tiled  # noqa: F401 (components is for op7)
+from .tiles import KEY, Bloom, LINK_SCHEMA, LINKS, Links, Once, classes, components, each_tile, groups, tiled  # noqa: F401 (components is for op7)
 
 N, T = 3, 0.5
 BLOCK = 512
@@ -398,6 +398,8 @@ def linked(docs: DataFrame, t: float = T, n: int = N) -> tuple[DataFrame, DataFr
     alive = stored(arrow_map(tiled(members), _bounded(t), SURVIVOR), "op8-survivors")
     wanted = alive.select("node").distinct().join(sets.select("node", F.col("at.doc_id").alias("_lw_doc"), F.col("at.text_hash").alias("_lw_text")), "node")
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text").where("doc is not null and text is not null")
+    wanted = stored(wanted, "op8-wanted")
+    text = Bloom(wanted, "_lw_doc", "_lw_text").rows(text, [F.col("doc"), F.col("hash")])
     grams = arrow_map(text.join(wanted, (F.col("doc") == F.col("_lw_doc")) & (F.col("hash") == F.col("_lw_text"))).select("node", "text"), _grams(n), "node long, grams binary")
     each = alive.drop("size").join(grams, "node").repartition(*KEY).sortWithinPartitions(*KEY)
     links = stored(arrow_map(each.select("leader", "lo", "hi", "side", "before", "node", "grams"), _exact(t), LINKS), "op8-links")
@@ -426,16 +428,19 @@ def keep_one(docs: DataFrame, t: float = T, n: int = N) -> DataFrame:
     named, found = linked(docs, t, n)
     own = stored(named.join(found.select("node", "root"), "node", "left").groupBy("doc_id", "text_hash").agg(F.min(F.coalesce("root", "node")).alias("root"), F.count("*").alias("n")), "op8-rows")
     first = own.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
-    other = own.join(first, "root").where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("text_hash") != F.col("at.text_hash")) | (F.col("n") > 1))
-    gone = other.select(F.col("doc_id").alias("_lw_doc"), F.col("text_hash").alias("_lw_text"))
-    again = own.join(first, "root").where((F.col("doc_id") == F.col("at.doc_id")) & (F.col("text_hash") == F.col("at.text_hash")) & (F.col("n") > 1)).select(F.col("doc_id").alias("_lw_doc"), F.col("text_hash").alias("_lw_text"))
-    same = lambda x: (docs["doc_id"].cast("long") == x["_lw_doc"]) & (F.xxhash64(docs["text"]) == x["_lw_text"])
-    cols = docs.columns
-    once = docs.join(gone, same(gone), "left_anti")
+    leads = (F.col("doc_id") == F.col("at.doc_id")) & (F.col("text_hash") == F.col("at.text_hash"))
+    touched = own.join(first, "root").select(F.col("doc_id").alias("_lw_doc"), F.col("text_hash").alias("_lw_text"), leads.alias("_lw_leads"), "n").where("not _lw_leads or n > 1")
+    touched = stored(touched, "op8-touched")
+    bloom, cols = Bloom(touched, "_lw_doc", "_lw_text"), docs.columns
+    key = [docs["doc_id"].cast("long"), F.xxhash64(docs["text"])]
+    sure, rest = bloom.rows(docs, key, inside=False), bloom.rows(docs, key)
+    same = lambda x: (rest["doc_id"].cast("long") == x["_lw_doc"]) & (F.xxhash64(rest["text"]) == x["_lw_text"])
+    once = rest.join(touched, same(touched), "left_anti")
     plain = [c for c in cols if "map<" not in docs.schema[c].dataType.simpleString()]
-    each = docs.join(again, same(again), "left_semi").select("doc_id", "text", F.struct(*cols).alias("_lw_row"), F.xxhash64(*plain).alias("_lw_h"))
+    again = touched.where("_lw_leads")
+    each = rest.join(again, same(again), "left_semi").select("doc_id", "text", F.struct(*cols).alias("_lw_row"), F.xxhash64(*plain).alias("_lw_h"))
     each = each.groupBy("doc_id", "text").agg(F.min_by("_lw_row", "_lw_h").alias("_lw_row"))
-    return once.unionByName(each.select(*[F.col("_lw_row")[c].alias(c) for c in cols]))
+    return sure.unionByName(once).unionByName(each.select(*[F.col("_lw_row")[c].alias(c) for c in cols]))
 
 
 def oracle(t: float = T, n: int = N) -> str:

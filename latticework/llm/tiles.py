@@ -176,3 +176,53 @@ def components(pairs: DataFrame) -> DataFrame:
         if now == state:
             return edges.select(F.col("u").alias("doc"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("doc"), F.col("v").alias("root")).distinct())
         state = now
+
+
+#: Bits of a Bloom filter, and of one of its pieces.
+BLOOM, BLOOM_PIECE = 1 << 25, 1 << 19
+
+
+def _bloom_pieces(batches):
+    own: dict[int, np.ndarray] = {}
+    for b in batches:
+        at = b.column(0).to_numpy(zero_copy_only=False)
+        for p in np.unique(at // BLOOM_PIECE).tolist():
+            bits = own.setdefault(p, np.zeros(BLOOM_PIECE, bool))
+            bits[at[at // BLOOM_PIECE == p] % BLOOM_PIECE] = True
+    schema = pa.schema([("piece", pa.int32()), ("bits", pa.binary())])
+    for p, bits in own.items():
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], schema=schema)
+
+
+class Bloom:
+    """Which rows may be among given keys: BLOOM / 8 bytes on the driver and in the broadcast, whatever the input.
+
+    Saves rows that are surely not among them a shuffle; where it is full it saves nothing, and changes nothing.
+    """
+
+    def __init__(self, keys: DataFrame, *on: str):
+        self.on = on
+        at = keys.select(F.pmod(F.xxhash64(*on), F.lit(BLOOM)).alias("at")).distinct().repartition((F.col("at") / BLOOM_PIECE).cast("int"))
+        bits = np.zeros(BLOOM // 8, np.uint8)
+        for piece, own in arrow_map(at, _bloom_pieces, "piece int, bits binary").collect():
+            bits[piece * BLOOM_PIECE // 8 : (piece + 1) * BLOOM_PIECE // 8] = np.frombuffer(bytes(own), np.uint8)
+        self.bits = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def rows(self, df: DataFrame, keys: list, inside: bool = True) -> DataFrame:
+        """The rows of df that may be among the keys, or those that surely aren't (null keys among the latter)."""
+        shared = self.bits
+        some = keys[0].isNotNull()
+        for k in keys[1:]:
+            some = some & k.isNotNull()
+        marked = df.select("*", F.when(some, F.pmod(F.xxhash64(*keys), F.lit(BLOOM))).alias("_lw_at"))
+
+        def run(batches):
+            for b in batches:
+                last = b.num_columns - 1
+                at = b.column(last)
+                valid = at.is_valid().to_numpy(zero_copy_only=False)
+                x = at.fill_null(0).to_numpy(zero_copy_only=False)
+                hit = valid & ((shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1) == 1)
+                yield b.select(list(range(last))).filter(pa.array(hit == inside))
+
+        return arrow_map(marked, run, df.schema)

@@ -43,7 +43,7 @@ ALPHABETS = tuple(
         ("0-9A-Z", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\s\S", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/"),
     )
 )
-#: Characters on the left in which a name must stand; characters on each side that prime the compressor.
+#: Characters on the left, blanks before the candidate apart, in which a name must stand; characters on each side that prime the compressor.
 REACH, AROUND = 48, 512
 MIN_VALUE = 6
 MASK = "[SECRET]"
@@ -122,6 +122,8 @@ def values(text: str):
         at = sign.start()
         if at < past:
             continue
+        while at > past and text[at - 1] in " \t":
+            at -= 1
         named = None
         for named in SENSITIVE.finditer(text, max(past, at - REACH), at):
             pass  # the nearest
@@ -167,8 +169,11 @@ def runs(text: str):
         word = text[a:e]
         if e - a < MIN_LENGTH or not (any(map(str.isdigit, word)) and any(map(str.isalpha, word))):
             continue
+        left = a
+        while left and text[left - 1] in " \t":  # blanks don't count for the reach
+            left -= 1
         named = None
-        for named in SENSITIVE.finditer(text, max(0, a - REACH), a):
+        for named in SENSITIVE.finditer(text, max(0, left - REACH), left):
             pass  # the nearest
         known = KNOWN.match(word)
         if named or known:

@@ -16,13 +16,18 @@ half the penalty by any other label, no path with changes can win.
 The tables are fitted here, on at most TRAIN_DOCS labelled rows (lowest hash of
 the id) and LANGUAGE_DOCS more of each language, TRAIN_DOCS again in all, so
 that rare languages are learned; the labelling covers every word of every text.
+Whole texts are counted where they lie: what reaches the driver are counts of
+trigrams and letters of a language and script, not texts.  An id on several
+rows counts with all of them, so the sample doesn't depend on the order of rows.
 
 Defined results: a null or empty text, or one without words of a script that
 has a language, is "und" with confidence 0 and no spans; a null id is kept; a
 repeated row is labelled again; languages of fewer than MIN_DOCS labelled rows
 are not learned; a script's usual language gives way to labelled ones; with no
-labelled rows at all Latin-script words stay unknown; equal totals go to the
-language that comes first by name; other columns are ignored.
+labelled rows at all, or no column lang, Latin-script words stay unknown;
+accepted() rejects only what could be told: a text whose words are all of
+scripts that have no language stays; equal totals go to the language that comes
+first by name; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,18 +96,31 @@ def grams(word: str, kind: str) -> list[str]:
     return [w[i : i + 3] for i in range(len(w) - 2)]
 
 
+def counted(rows) -> Counter:
+    """(language, script, gram) -> n of (language, text) rows; gram None counts letters, script None rows."""
+    words: dict[str, Counter] = {}
+    out: Counter = Counter()
+    for lang, text in rows:
+        out[lang, None, None] += 1
+        words.setdefault(lang, Counter()).update(LETTERS.findall(lowered(text)))
+    for lang, own in words.items():
+        for word, n in own.items():
+            kind = script_of(word)
+            for g in grams(word, kind):
+                out[lang, kind, g] += n
+            for c in word:
+                if c.isalpha():
+                    out[lang, script(c), None] += n
+    return out
+
+
 class Table:
     """Gram scores of the languages of one script."""
 
-    def __init__(self, kind: str, languages: list[str], words: dict[str, Counter]):
+    def __init__(self, kind: str, languages: list[str], counts: dict[str, list[int]]):
         self.kind, self.languages = kind, languages
-        counts: dict[str, list[int]] = {}
-        for i, lang in enumerate(languages if len(languages) > 1 else ()):
-            for word, n in words[lang].items():
-                for g in grams(word, kind):
-                    counts.setdefault(g, [0] * len(languages))[i] += n
-        self.index = {g: i + 1 for i, g in enumerate(counts)}
-        table = np.array([np.zeros(len(languages)), *counts.values()]) + 0.2
+        self.index = {g: i + 1 for i, g in enumerate(sorted(counts))}
+        table = np.array([np.zeros(len(languages)), *(counts[g] for g in sorted(counts))]) + 0.2
         logs = np.log(table / table.sum(axis=0))
         self.logs = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
         self.logs[0] = 0
@@ -119,28 +137,29 @@ class Table:
 
 
 class Model:
-    """Languages, and for each script the table of those that are written in it."""
-
-    def __init__(self, rows: list[tuple[str, str]]):
-        docs = Counter(lang for lang, _ in rows)
-        words: dict[str, dict[str, Counter]] = {}  # script, language
-        size: dict[str, Counter] = {k: Counter() for k, n in docs.items() if n >= MIN_DOCS}
-        tally = {k: Counter() for k in size}
-        for lang, text in rows:
-            if lang in tally:
-                tally[lang].update(LETTERS.findall(lowered(text)))
-        for lang, own in tally.items():
-            for word, n in own.items():
-                words.setdefault(script_of(word), {}).setdefault(lang, Counter())[word] = n
-                for c in word:
-                    size[lang][script(c) if c.isalpha() else None] += n
-            del size[lang][None]
+    """Languages, and for each script the table of those that are written in it; from counted() or rows (language, text)."""
+
+    def __init__(self, counts: Counter | list[tuple[str, str]]):
+        counts = counts if isinstance(counts, Counter) else counted(counts)
+        size: dict[str, Counter] = {lang: Counter() for (lang, kind, _), n in counts.items() if kind is None and n >= MIN_DOCS}
+        seen: dict[str | None, set] = {}
+        for (lang, kind, g), n in counts.items():
+            if lang in size and (kind is not None or g is not None):
+                if g is None:
+                    size[lang][kind] += n
+                else:
+                    seen.setdefault(kind, set()).add(lang)
         self.candidates = {k: [v] for k, v in DEFAULTS.items()}
-        for kind in words:
-            if own := sorted(k for k in words[kind] if size[k][kind] >= MIN_SHARE * size[k].total()):
+        for kind in seen:
+            if kind and (own := sorted(k for k in seen[kind] if size[k][kind] >= MIN_SHARE * size[k].total())):
                 self.candidates[kind] = own
         self.languages = sorted({x for v in self.candidates.values() for x in v})
-        self.tables = {k: Table(k, v, words.get(k, {})) for k, v in self.candidates.items()}
+        tables: dict[str, dict[str, list[int]]] = {k: {} for k in self.candidates}
+        for (lang, kind, g), n in counts.items():
+            own = self.candidates.get(kind, ())
+            if g is not None and lang in own and len(own) > 1:
+                tables[kind].setdefault(g, [0] * len(own))[own.index(lang)] += n
+        self.tables = {k: Table(k, v, tables[k]) for k, v in self.candidates.items()}
         self.at = {k: np.array([self.languages.index(x) for x in v], np.int64) for k, v in self.candidates.items()}
 
     def score(self, words: list[str]) -> np.ndarray:
@@ -251,19 +270,38 @@ def identify(text: str | None, scores: _Scores) -> tuple[str, float, int, list[t
     return names[main], float(1 / np.exp(z - z[main]).sum()), len(words), spans
 
 
+def untold(text: str, model: Model) -> bool:
+    """Whether no word of a text is of a script that has a language."""
+    return not any(script_of(w) in model.tables for w in LETTERS.findall(lowered(text)))
+
+
 SPAN = "doc_id long, lang string, confidence double, n_words int, spans array<struct<start:int,end:int,lang:string>>"
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model of at most 2 x TRAIN_DOCS rows with a label in lang: those of lowest hash, of all and of each language."""
+    """A model of at most 2 x TRAIN_DOCS ids with a label in lang: those of lowest hash, of all and of each language."""
+    if "lang" not in docs.columns:
+        return Model([])
     labelled = docs.where("lang is not null and text is not null")
-    keys = labelled.where("doc_id is not null").select("doc_id", "lang")
+    keys = labelled.where("doc_id is not null").select("doc_id", "lang").distinct()
     lowest = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = {r[0] for r in keys.select("doc_id").orderBy(*lowest).limit(TRAIN_DOCS).collect()}
+    ids = {r[0] for r in keys.select("doc_id").distinct().orderBy(*lowest).limit(TRAIN_DOCS).collect()}
     at = F.row_number().over(Window.partitionBy("lang").orderBy(*lowest)).alias("_lw_at")
     ids |= {r[0] for r in keys.select("doc_id", "lang", at).where(F.col("_lw_at") <= LANGUAGE_DOCS).orderBy("_lw_at", "lang").limit(TRAIN_DOCS).collect()}
-    rows = labelled.where(F.col("doc_id").isin(sorted(ids))).select("lang", "text").limit(2 * TRAIN_DOCS).collect() if ids else []
-    return Model(sorted((r[0], r[1]) for r in rows))
+    if not ids:
+        return Model([])
+    schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        total: Counter = Counter()
+        for b in batches:
+            total.update(counted(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        rows = [(*k, n) for k, n in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    chosen = labelled.where(F.col("doc_id").isin(sorted(ids))).select(F.col("lang").cast("string"), "text")
+    found = arrow_map(chosen, run, "lang string, kind string, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    return Model(Counter({(r[0], r[1], r[2]): r[3] for r in found.collect()}))
 
 
 def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -290,7 +328,8 @@ def accepted(docs: DataFrame, model: Model | None = None, min_confidence: float
     def run(batches):
         scores = _Scores(shared.value)
         for b in batches:
-            found = [identify(x, scores) for x in b.column("text").to_pylist()]
-            yield b.filter(pa.array([f[0] != "und" and f[1] >= min_confidence for f in found], pa.bool_()))
+            texts = b.column("text").to_pylist()
+            found = [identify(x, scores) for x in texts]
+            yield b.filter(pa.array([f[1] >= min_confidence if f[0] != "und" else f[2] > 0 and untold(x, scores.model) for x, f in zip(texts, found)], pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

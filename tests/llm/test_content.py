@@ -11,6 +11,9 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
+
+from pyspark.sql import functions as F
 
 from latticework.llm import op1_secrets as sec
 from latticework.llm import op2_quality as qua
@@ -86,6 +89,23 @@ def test_secret_queries_on_odd_inputs(make):
     assert rows(sec.findings(make([]))) == [] and rows(sec.redacted(make([]))) == []
 
 
+def test_secret_names_reach_over_blanks():
+    assert sec.mask(f"token{' ' * 90}{KEY} end") == f"token{' ' * 90}{sec.MASK} end"
+    assert sec.mask(f"password{' ' * 90}= 'Tr0ub4dor&3'") == f"password{' ' * 90}= '{sec.MASK}'"
+
+
+def test_secret_novelty_equals_two_frames():
+    """The marginal bytes are the difference of the frames with and without the candidate, and decide what is found."""
+    rng = random.Random(31)
+    for _ in range(30):
+        word = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(16, 60)))
+        around = rng.choice(["", word, "def token(self): return " + word[:10]])
+        own = zstandard.ZstdCompressionDict(sec.IDENTIFIERS + b"\n" + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        pack = lambda x: len(zstandard.ZstdCompressor(level=19, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x))
+        assert abs(sec.novel_bytes(word, around) - (pack(word.encode()) - pack(b""))) <= 1
+        assert (sec.novel_bytes(word, word) < 12) and sec.novel_bytes(word, "") >= 0.7 * len(word)
+
+
 # -- quality -----------------------------------------------------------------------------------------------------------
 def test_quality_on_held_out_labels(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.01")
@@ -475,3 +495,64 @@ def test_html_query_equals_plain_loops(make, spark):
         limit = min(best[1] if best else order[0], max(score))
         kept = [t for (t, _), x in zip(lines, score) if x >= limit]
         assert got[i] == ("\n".join(kept), len(lines), len(kept)), i
+
+
+def brute_language(text, rows):
+    """(lang, n_words, labels of words) by dictionaries and a dynamic program in plain loops; Latin script only."""
+    counts, docs = {}, Counter(k for k, _ in rows)
+    names = sorted(k for k, n in docs.items() if n >= lan.MIN_DOCS)
+    for k, t in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()) if k in names else ():
+            for g in (f"^{w}$"[i : i + 3] for i in range(len(w))):
+                counts.setdefault(g, Counter())[k] += 1
+    total = {k: sum(c[k] + 0.2 for c in counts.values()) + 0.2 for k in names}
+
+    def score(w):
+        x = {k: 0.0 for k in names}
+        for g in (f"^{w}$"[i : i + 3] for i in range(len(w))):
+            if g in counts:
+                logs = {k: math.log((counts[g][k] + 0.2) / total[k]) for k in names}
+                for k in names:
+                    x[k] += logs[k] - sum(logs.values()) / len(names)
+        mean = sum(x.values()) / len(names)
+        return {k: max(-lan.CLIP, min(lan.CLIP, v - mean)) for k, v in x.items()}
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    scores = [score(w) for w in words]
+    paths = {k: (scores[0][k], [k]) for k in names} if words else {}
+    for s in scores[1:]:
+        paths = {k: max(((v + s[k] - (0 if p[-1] == k else lan.PENALTY), [*p, k]) for v, p in paths.values()), key=lambda x: x[0]) for k in names}
+    label = max(paths.values(), key=lambda x: x[0])[1] if paths else []
+    return words, label
+
+
+def test_language_query_equals_plain_loops(make, spark):
+    rng = random.Random(17)
+    stems = {"en": ["the", "house", "with", "garden", "they", "thing"], "de": ["der", "garten", "und", "schule", "nicht", "zeit"], "fr": ["le", "jardin", "avec", "maison", "pas", "temps"]}
+    make_text = lambda k, n: " ".join(rng.choice(stems[k]) for _ in range(n))
+    labelled = [(i, make_text(k, 30), k) for i, k in enumerate(["en", "de", "fr"] * 8)]
+    mixed = [(100 + i, make_text(a, rng.randrange(1, 25)) + " " + make_text(b, rng.randrange(1, 25)), None) for i, (a, b) in enumerate(rng.choices([("en", "de"), ("fr", "en"), ("de", "de"), ("fr", "de")], k=40))]
+    df = spark.createDataFrame([(i, t, k, "s", len(t)) for i, t, k in labelled + mixed], "doc_id long, text string, lang string, source string, n_chars long")
+    rows_ = [(k, t) for _, t, k in labelled]
+    for r in lan.languages(df).collect():
+        text = next(t for i, t, _ in labelled + mixed if i == r.doc_id)
+        words, label = brute_language(text, rows_)
+        at = [m.span() for m in re.finditer(r"[^\W\d_]+", text)]
+        got = [next(s.lang for s in r.spans if s.start <= a < s.end) for a, _ in at]
+        assert (r.n_words, got) == (len(words), label), r
+        size = Counter()
+        for (a, b), k in zip(at, label):
+            size[k] += b - a
+        assert size[r.lang] == max(size.values())
+
+
+def test_language_stage_without_labels_rejects_only_what_could_be_told(make, spark):
+    docs = [(1, "the house and the garden"), (2, ""), (3, None), (4, "123 456 !!"), (5, "дом и сад у реки")]
+    for df in (make(docs).withColumn("lang", F.lit(None).cast("string")), make(docs).drop("lang")):
+        assert sorted(r.doc_id for r in lan.accepted(df).collect()) == [1, 5]
+
+
+def test_language_model_does_not_depend_on_the_order_of_rows(make, spark):
+    docs = [(i % 30, " ".join(random.Random(i).choices(["der", "garten", "the", "house", "und"], k=9))) for i in range(90)]
+    a, b = (lan.fit(make(x).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en"))) for x in (docs, docs[::-1]))
+    assert a.languages == b.languages and all((a.tables[k].logs == b.tables[k].logs).all() for k in a.tables)

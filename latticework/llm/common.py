@@ -8,8 +8,10 @@ size of a partition is governed by ``spark.sql.shuffle.partitions`` as usual.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,6 +52,8 @@ _shared_hash = WordHash()
 class WordKey(WordHash):
     """word -> 64-bit integer by XXH3, which costs a fraction of MD5."""
 
+    limit = 100_000
+
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         if len(self) >= self.limit:
@@ -156,6 +160,28 @@ def columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndar
     return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most so many rows: what a step makes of texts is held for a slice, not for a batch."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def _given_back(fn):
+    """fn, after which a worker that is kept for later tasks returns its free memory to the system."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # a C library without it
+                pass
+
+    return run
+
+
 def in_chunks(arrays: list, names: list[str], schema: pa.Schema, size: int = 100_000) -> Iterator[pa.RecordBatch]:
     n = len(arrays[0])
     for i in range(0, n, size):
@@ -164,4 +190,4 @@ def in_chunks(arrays: list, names: list[str], schema: pa.Schema, size: int = 100
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_given_back(fn), schema)

@@ -40,13 +40,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD, arrow_map, distinct, in_chunks, lowered, mix, runs, stored, window_hash, word_keys
+from .common import U64, WORD, arrow_map, distinct, in_chunks, lowered, mix, pieces, runs, stored, window_hash, word_keys
 from .tiles import KEY, Bloom, LINK_SCHEMA, LINKS, Links, Once, classes, components, each_tile, groups, tiled  # noqa: F401 (components is for op7)
 
 N, T = 3, 0.5
 BLOCK = 512
 #: Cells of the sketch, and cells of one of its pieces; postings of an n-gram that make it hot; postings held before they are sent.
-SKETCH, PIECE, HOT, HELD = 1 << 22, 1 << 16, 1 << 16, 1 << 21
+SKETCH, PIECE, HOT, HELD = 1 << 22, 1 << 16, 1 << 16, 1 << 19
 SALT = 64
 
 
@@ -100,8 +100,8 @@ def _signatures(n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("bits", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        sketch, held, many, seen = None, [], 0, set()
-        for b in batches:
+        sketch, seen = None, set()
+        for b in pieces(batches):
             out = [[], [], [], [], []]
             for doc, key, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 g = ngrams(text, n)
@@ -112,15 +112,10 @@ def _signatures(n: int):
                     o.append(x)
                 if node not in seen:
                     seen.add(node)
-                    held.append((g & U64(SKETCH - 1)).astype(np.int64))
-                    many += len(g)
-                if many > HELD:
-                    sketch = np.bincount(np.concatenate(held), minlength=SKETCH) + (0 if sketch is None else sketch)
-                    held, many = [], 0
+                    sketch = np.zeros(SKETCH, np.int64) if sketch is None else sketch
+                    np.add.at(sketch, (g & U64(SKETCH - 1)).astype(np.int64), 1)
             none = len(out[0])
             yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema)] + [pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], schema=schema)
-        if held:
-            sketch = np.bincount(np.concatenate(held), minlength=SKETCH) + (0 if sketch is None else sketch)
         if sketch is not None:
             for i in range(0, SKETCH, PIECE):
                 if sketch[i : i + PIECE].any():
@@ -211,7 +206,7 @@ def _postings(t: float, n: int, parts: int, shared):
 
     def run(batches):
         held, many, seen = [], 0, set()
-        for b in batches:
+        for b in pieces(batches):
             for text in b.column(0).to_pylist():
                 g = ngrams(text, n)
                 if not len(g) or (node := set_hash(g)) in seen:
@@ -383,7 +378,7 @@ def _grams(n: int):
     schema = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ngrams(x, n).tobytes() for x in b.column(1).to_pylist()], pa.binary())], schema=schema)
 
     return run

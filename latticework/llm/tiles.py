@@ -82,9 +82,9 @@ class Once:
                 place = np.cumsum(wanted) - 1
                 hit = wanted[inverse]
                 width = -(-int(wanted.sum()) // 64) * 64
-                flags = np.zeros((len(count), width), bool)
-                flags[np.repeat(np.arange(len(count)), count)[hit], place[inverse][hit]] = True
-                self.bits = np.packbits(flags, axis=1, bitorder="little").view(U64)
+                at = place[inverse][hit]
+                self.bits = np.zeros((len(count), width // 64), U64)
+                np.bitwise_or.at(self.bits, (np.repeat(np.arange(len(count)), count)[hit], at >> 6), U64(1) << (at & 63).astype(U64))
 
     def of(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of others that node i is to be compared with here."""

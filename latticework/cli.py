@@ -13,14 +13,16 @@ from pyspark.sql import SparkSession
 
 from . import render
 from .catalog import GraphCatalog
+from .cluster import clean
 from .operators import graph, search
 from .sources import git
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="latticework", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    p.add_argument("--rows", type=int, default=50, help="rows shown, 0 for all; a drawing shows ten times as many")
     sub = p.add_subparsers(dest="command", required=True)
-    a = sub.add_parser("analyze")
+    a =sub.add_parser("analyze")
     a.add_argument("root")
     a.add_argument("--out", required=True)
     a.add_argument("--ignore", nargs="*", default=[])
@@ -65,33 +67,37 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, argv: list[str]) -> str:
     o = parser().parse_args(argv)
+    most = None if o.rows == 0 else o.rows
     if o.command == "analyze":
         c = GraphCatalog.analyze(spark, o.root, o.ignore)
         c.save(o.out)
         return render.markdown(c.entities.groupBy("kind").count().orderBy("kind"))
     if o.command == "changed":
-        return render.markdown(git.changed_files(spark, o.root, o.old, o.new))
+        return render.markdown(git.changed_files(spark, o.root, o.old, o.new), most)
     if o.command == "blame":
-        return render.markdown(git.blame(spark, o.root, o.path))
+        return render.markdown(git.blame(spark, o.root, o.path), most)
     if o.command == "clean":
         return "clean" if git.is_clean(o.root) else "changed"
     c = GraphCatalog.load(spark, o.catalog)
     if o.command == "draw":
         edges = c.edges.where(f"kind = '{o.kind}'") if o.kind.isidentifier() else c.edges.limit(0)
-        return render.mermaid(edges) if o.form == "mermaid" else render.dot(edges, graph.strong_components(edges))
+        wide = most and 10 * most
+        return render.mermaid(edges, wide) if o.form == "mermaid" else render.dot(edges, graph.strong_components(edges), wide)
     made = {
         "query": lambda: c.query(o.text), "find": lambda: c.find(o.name, o.top, o.kind).select("id", "kind", "score"), "traverse": lambda: c.traverse(o.id, o.depth, o.kinds, o.direction).orderBy("depth", "id"),
         "callers": lambda: c.callers_of(o.id).select("id", "kind", "path", "line"), "callees": lambda: c.callees_of(o.id).select("id", "kind", "path", "line"), "children": lambda: c.module_children(o.id).select("id", "kind", "line").orderBy("line"),
         "affected": lambda: c.affected(o.id, o.depth).orderBy("depth"), "chain": lambda: c.call_chain(o.start, o.end).orderBy("pos"), "smells": lambda: c.smells(o.entity, o.rule), "stats": c.stats,
         "plan": lambda: search.plan(spark.createDataFrame([(o.question,)], "question string")),
     }
-    return render.markdown(made[o.command]())
+    return render.markdown(made[o.command](), most)
 
 
 def main() -> None:
     import sys
 
-    print(run(SparkSession.builder.appName("latticework").getOrCreate(), sys.argv[1:]))
+    spark = SparkSession.builder.appName("latticework").getOrCreate()
+    print(run(spark, sys.argv[1:]))
+    clean(spark)
 
 
 if __name__ == "__main__":

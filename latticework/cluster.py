@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zipfile
 from pathlib import Path
@@ -31,10 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """Folder all executors can reach: spark.checkpoint.dir, or a local one where it is unset and all runs in one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at:
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     import tempfile
 
     made = "file://" + tempfile.mkdtemp(prefix="latticework-")
@@ -45,6 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, executors may be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/latticework-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table that this application stored; for when none of its DataFrames is needed any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

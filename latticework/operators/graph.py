@@ -41,10 +41,16 @@ def neighbours(edges: DataFrame, kinds: list[str] | None = None, direction: str
     return {"down": down, "up": up}.get(way) if way != "both" else up.unionByName(down)
 
 
+def _once(steps: DataFrame, max_depth: int) -> DataFrame:
+    """The steps as a table of their own where each level would else repeat the joins and groupings they come from."""
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    return stored(steps, "steps") if max_depth > 1 and any(x in plan for x in ("Join", "Aggregate", "Window")) else steps
+
+
 def _levels(starts: DataFrame, steps: DataFrame, max_depth: int, by: list[str], advance, pick) -> list[DataFrame]:
     """Stored levels of a walk; by: what identifies a visited row, advance and pick: how rows step and which one is kept."""
     level = stored(starts, "walk")
-    levels = [level]
+    levels, steps = [level], _once(steps, max_depth)
     for _ in range(max_depth):
         seen = reduce(DataFrame.unionByName, [x.select(*by) for x in levels])
         ahead = advance(level.join(steps, level["id"] == steps["at"])).join(seen, by, "left_anti")
@@ -87,6 +93,22 @@ def closure(edges: DataFrame, starts: DataFrame, max_depth: int, kinds: list[str
     return reduce(DataFrame.unionByName, _levels(first, neighbours(edges, kinds, direction), max_depth, ["root", "id"], advance, DataFrame.distinct))
 
 
+def reachable(edges: DataFrame) -> DataFrame:
+    """(root, id): all that each source of edges (src, dst) reaches, at any distance, itself only on a cycle.
+
+    Every round joins the pairs with themselves, so paths of twice the length are found.
+    """
+    reach = stored(edges.where("src is not null and dst is not null").select(F.col("src").alias("root"), F.col("dst").alias("id")).distinct(), "reach")
+    size = reach.count()
+    while True:
+        further = reach.join(reach.select(F.col("root").alias("id"), F.col("id").alias("to")), "id").select("root", F.col("to").alias("id"))
+        reach = stored(reach.unionByName(further).distinct(), "reach")
+        now = reach.count()
+        if now == size:
+            return reach
+        size = now
+
+
 def impact(edges: DataFrame, target: str, max_depth: int = 5) -> DataFrame:
     """(depth, n, ids): what calls the target, directly or not, by distance; depth is capped at 20."""
     reached = traverse(edges, target, min(max_depth, MAX_IMPACT), ["calls"], "upstream").where("depth > 0")
@@ -96,7 +118,7 @@ def impact(edges: DataFrame, target: str, max_depth: int = 5) -> DataFrame:
 def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 10, kinds: list[str] | None = None) -> DataFrame:
     """(pos, id): the nodes of a shortest path, the first by name of several; no rows without one."""
     first = edges.sparkSession.createDataFrame([(start, [start])], "id string, path array<string>")
-    steps = neighbours(edges, kinds, "downstream")
+    steps = _once(neighbours(edges, kinds, "downstream"), max_depth)
     level, seen = stored(first, "path"), []
     for _ in range(max_depth):
         if not level.where(F.col("id") == end).isEmpty():

@@ -1,7 +1,7 @@
 """Method resolution order: C3 linearisation of every class, each from its own ancestors.
 
-The ancestors come from one multi-source walk over extends; every class then
-brings the ordered bases of its ancestors to one Arrow batch row and is
+The ancestors come from joining extends to itself until nothing is added, so a
+hierarchy of any height takes as many rounds as its logarithm; every class then brings the ordered bases of its ancestors to one Arrow batch row and is
 linearised by itself, so the work spreads over classes.
 """
 
@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.cluster import ship
 
-from .graph import closure
-
-MAX_HEIGHT = 100
+from .graph import reachable
 
 
 def merge(lists: list[list[str]]) -> tuple[list[str], bool]:
@@ -70,7 +68,8 @@ def orders(bases: DataFrame) -> DataFrame:
     """(class_id, mro, mro_error) of (class_id, bases array<string>): bases in order of declaration, unknown ones by name."""
     own = bases.select("class_id", F.coalesce("bases", F.array().cast("array<string>")).alias("bases"))
     edges = own.select(F.col("class_id").alias("src"), F.explode("bases").alias("dst"), F.lit("extends").alias("kind"))
-    reach = closure(edges, own.select(F.col("class_id").alias("id")), MAX_HEIGHT, ["extends"])
+    reach = reachable(edges).unionByName(own.select(F.col("class_id").alias("root"), F.col("class_id").alias("id"))).distinct()
+    reach = reach.join(own.select(F.col("class_id").alias("root")), "root", "left_semi")
     parts = reach.join(own.select(F.col("class_id").alias("id"), "bases"), "id")
     family = parts.groupBy("root").agg(F.collect_list(F.struct("id", "bases")).alias("family"))
     ship(bases.sparkSession)

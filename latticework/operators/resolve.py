@@ -48,7 +48,9 @@ def longest_suffix(wanted: DataFrame, modules: DataFrame) -> DataFrame:
     """
     tails = wanted.where("dotted is not null and dotted <> ''").select("key", F.posexplode(dotted_keys(F.col("dotted"))).alias("cut", "tail"))
     known = modules.select(F.col("id").alias("module_id"), "path", F.explode(path_keys(F.col("path"))).alias("tail"))
-    return first_by(tails.join(known, "tail"), ["key"], "cut", F.length("path"), "path").select("key", "module_id")
+    # which module a tail means doesn't depend on who asks: one row a tail, however many modules share it
+    known = known.groupBy("tail").agg(F.min_by("module_id", F.struct(F.length("path"), "path", "module_id")).alias("module_id"))
+    return tails.join(known, "tail").groupBy("key").agg(F.min_by("module_id", "cut").alias("module_id"))
 
 
 def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
@@ -102,11 +104,13 @@ def base_candidates(classes: DataFrame, names: DataFrame) -> DataFrame:
     through = wanted.withColumn("first", F.when(F.instr("base", ".") > 0, F.substring_index(F.substring_index("base", ".", -2), ".", 1)).otherwise(F.col("base"))).join(brought, ["parent_module", "first"])
     through = through.withColumn("real", F.when(F.instr("base", ".") > 0, F.col("short")).otherwise(F.col("real")))
     through = through.join(known.withColumnRenamed("short", "real"), "real").where("in_module = from_module").withColumn("tier", F.lit(2))
-    anywhere = wanted.join(known, "short").where("family <=> in_family or family is null or in_family is null").withColumn("tier", F.lit(3))
     cols = ["class_id", "pos", "base", "target", "tier"]
-    every = reduce(lambda a, b: a.unionByName(b), [x.select(*cols) for x in (same, through, anywhere)])
-    best = every.groupBy("class_id", "pos", "base", "tier").agg(F.sort_array(F.collect_set("target")).alias("candidates"))
-    best = first_by(best, ["class_id", "pos"], "tier")
+    near = same.select(*cols).unionByName(through.select(*cols)).groupBy("class_id", "pos", "tier").agg(F.sort_array(F.collect_set("target")).alias("candidates"))
+    near = stored(first_by(near, ["class_id", "pos"], "tier").select("class_id", "pos", "candidates"), "bases-near")
+    # only bases that neither the module nor its imports know are looked for everywhere
+    open_ = wanted.join(near, ["class_id", "pos"], "left_anti")
+    anywhere = open_.join(known, "short").where("family <=> in_family or family is null or in_family is null")
+    best = near.unionByName(anywhere.groupBy("class_id", "pos").agg(F.sort_array(F.collect_set("target")).alias("candidates")))
     return wanted.select("class_id", "pos", "base").join(best.select("class_id", "pos", "candidates"), ["class_id", "pos"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
 
 

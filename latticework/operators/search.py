@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from latticework.cluster import ship, stored
 from latticework.functions.text import cosine, query_spelling, token_estimate, words
 
 from .graph import first_by
@@ -41,6 +46,75 @@ def search_vectors(vectors: DataFrame, query: list[float], top_k: int = 10, key:
     return vectors.withColumn("similarity", cosine(F.col(column), array)).orderBy(F.desc("similarity"), key).limit(top_k)
 
 
+#: Queries of a pass of nearest(), and rows that meet them at once.
+QUERIES, ROWS = 1024, 1024
+#: Digits by which similarities are ranked: equal vectors tie wherever they stand, and the lower key wins.
+DIGITS = 9
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, top_k: int = 10, key: str = "id", column: str = "embedding") -> DataFrame:
+    """(query, key, similarity): the top_k vectors of each of queries (key, column), by cosine; every query meets every vector.
+
+    Queries go in blocks: each is one pass over vectors by products of
+    matrices, which sends top_k rows a query and task.  A block is all that the
+    driver and a broadcast hold; its result is a stored table.  Vectors of
+    another length, without length or missing have similarity 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    ship(spark)
+    id_type = vectors.schema[key].dataType.simpleString()
+    schema = f"query {id_type}, {key} {id_type}, similarity double"
+    id_arrow = to_arrow_type(vectors.schema[key].dataType)
+
+    def unit(rows: list) -> list:
+        out = []
+        for v in rows:
+            x = np.zeros(0) if v is None or any(e is None for e in v) else np.asarray(v, float)
+            n = np.linalg.norm(x)
+            out.append(x / n if np.isfinite(n) and n > 0 else np.zeros(0))
+        return out
+
+    def by_length(rows: list) -> dict:
+        size = np.array([len(x) for x in rows])
+        return {int(d): (at, np.stack([rows[i] for i in at])) for d in np.unique(size[size > 0]) for at in [np.flatnonzero(size == d)]}
+
+    def one_pass(block):
+        asked = spark.sparkContext.broadcast(([r[0] for r in block], by_length(unit([r[1] for r in block]))))
+
+        def run(batches):
+            ids, known = asked.value
+            best, score = None, None
+            for b in batches:
+                for i in range(0, b.num_rows, ROWS):
+                    own = b.slice(i, ROWS)
+                    name = np.asarray(own.column(0).to_pylist())
+                    near = np.zeros((len(ids), len(name)))
+                    for d, (at, x) in by_length(unit(own.column(1).to_pylist())).items():
+                        if d in known:
+                            near[np.ix_(known[d][0], at)] = known[d][1] @ x.T
+                    near, name = np.round(near, DIGITS), np.broadcast_to(name, near.shape)
+                    if best is not None:
+                        near, name = np.concatenate([score, near], axis=1), np.concatenate([best, name], axis=1)
+                    order = np.lexsort((name, -near), axis=1)[:, :top_k]
+                    score, best = np.take_along_axis(near, order, 1), np.take_along_axis(name, order, 1)
+            if best is not None:
+                many = best.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array([q for q in ids for _ in range(many)], id_arrow), pa.array(best.ravel().tolist(), id_arrow), pa.array(score.ravel())], ["query", key, "similarity"])
+
+        found = vectors.where(F.col(key).isNotNull()).select(key, column).mapInArrow(run, schema)
+        w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+        out = stored(found.withColumn("_lw_at", F.row_number().over(w)).where(F.col("_lw_at") <= top_k).drop("_lw_at"), "nearest")
+        asked.destroy()
+        return out
+
+    rows = queries.where(F.col(key).isNotNull()).select(key, column).toLocalIterator()
+    out = [one_pass(block) for block in batched(rows, QUERIES)]
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
+
+
 def intent(question: Column) -> Column:
     low = F.lower(question)
     out = None

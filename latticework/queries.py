@@ -152,13 +152,14 @@ def ql_loose_path(spark, d):
     return run("calls select status, count(*) as n group by priority", {"calls": _orders_view(spark, d)})
 
 
-@query("ql_list_predicates", """with m as (select n_nationkey, n_name, r_name, list(distinct c_mktsegment) as segments from nation join region on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey where c_acctbal > 9500 group by 1, 2, 3)
-select n_nationkey as id, n_name as name from m where (list_contains(segments, 'BUILDING') or len(list_filter(segments, lambda x: contains(x, 'HINE'))) > 0) and r_name = 'ASIA'""")
+@query("ql_list_predicates", """with p as (select o_custkey, list(distinct o_orderpriority) as priorities from orders group by 1), m as (select c_custkey, c_name, r_name, priorities from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey join p on o_custkey = c_custkey)
+select c_custkey as id, c_name as name from m where (list_contains(priorities, '1-URGENT') or len(list_filter(priorities, lambda x: contains(x, 'LOW'))) > 0) and r_name = 'ASIA'""")
 def ql_list_predicates(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("id")).agg(F.collect_set("c_mktsegment").alias("method_names"))
+    own = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("method_names"))
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    view = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.array("n_name", "r_name").alias("mro_names")).join(c, "id")
-    return run('classes select id, name where (has_method("BUILDING") or method_names contains "HINE") and inherits_from("ASIA") == true', {"classes": view})
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    view = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.array("n_name", "r_name").alias("mro_names")).join(own, "id")
+    return run('classes select id, name where (has_method("1-URGENT") or method_names contains "LOW") and inherits_from("ASIA") == true', {"classes": view})
 
 
 # -- joins hidden in resolution ----------------------------------------------------------------------------------------
@@ -219,7 +220,7 @@ def score_match(spark, d):
     return resolve.signature_matches(w, f).select("key", "target", F.round("score", 6).alias("score"))
 
 
-@query("semi_coverage", f"with {_EDGES} select src, dst, kind from e where dst in (select src from e)")
+@query("semi_coverage", f"with {_EDGES.replace(' as (', ' as materialized (')}, s as materialized (select distinct src as known from e) select src, dst, kind from e semi join s on dst = known")
 def semi_coverage(spark, d):
     return resolve.covered(edges(spark, d))
 
@@ -306,12 +307,12 @@ def name_search(spark, d):
     return search.search_names(nodes(spark, d), "Nation_2", 20).select("id", "name", "score")
 
 
-@query("cosine_topk", "select vec_id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as similarity from embeddings order by similarity desc, vec_id limit 10")
+@query("cosine_topk", """with q as (select vec_id as query, embedding::double[] as e from embeddings where vec_id % 100 = 0), s as (select query, vec_id, round(list_cosine_similarity(embedding::double[], e), 9) as similarity from q cross join embeddings),
+r as (select *, row_number() over (partition by query order by similarity desc, vec_id) as n from s) select query, vec_id, round(similarity, 6) as similarity from r where n <= 10""")
 def cosine_topk(spark, d):
+    """Every row of an id that is divisible by 100 is a query, against all rows."""
     v = table(spark, d, "embeddings")
-    first = v.where("vec_id = 0").select("embedding").first()
-    out = search.search_vectors(v, list(first[0]) if first else [], 10, "vec_id")
-    return out.select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return search.nearest(v.where("vec_id % 100 = 0"), v, 10, "vec_id").withColumn("similarity", F.round("similarity", 6))
 
 
 _ASKED = ("what breaks if I drop this table", "path from login to session", "find something similar to parse", "show dependencies of core", "signature of open_file", "Who calls close?", "explore the parser", "an unlikely case")
@@ -374,10 +375,10 @@ def class_findings(spark, d):
     return rules.findings(m, "class").select("rule_id", "entity_id", "severity")
 
 
-@query("coupling", """with m as (select distinct c_nationkey as id, s_nationkey as other from orders join lineitem on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey where l_discount >= 0.1),
+@query("coupling", """with m as (select distinct c_nationkey as id, s_nationkey as other from orders join lineitem on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey),
 u as (select id, other from m union select n_nationkey, 100 + n_regionkey from nation) select id, count(distinct other)::double as CBO from u where id <> other group by 1""")
 def coupling(spark, d):
-    return _coupling(spark, d, table(spark, d, "lineitem").where("l_discount >= 0.1"))
+    return _coupling(spark, d, table(spark, d, "lineitem"))
 
 
 @query("coupling_all", """with o as (select c_custkey as c, c_nationkey || '/' || c_mktsegment as id from customer), m as (select distinct id, cast(s_suppkey as varchar) as other from orders join lineitem on o_orderkey = l_orderkey join o on c = o_custkey join supplier on s_suppkey = l_suppkey)

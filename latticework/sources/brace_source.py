@@ -278,11 +278,23 @@ def _parameter(text: str, name_first: bool = False) -> dict | None:
 
 def _doc(text: str, start: int) -> str | None:
     """The run of comments just above a declaration, without their markers."""
-    above = text[:start].rstrip(" \t")
-    m = re.search(r"(/\*(?:(?!\*/).)*\*/|(?:[ \t]*(?://[^\n]*|#[^\n]*|--[^\n]*)\n)+)\s*$", above[-4000:], re.S)
-    if not m or above[-4000:][m.end(1) :].count("\n") > 1:
+    end = start
+    while end and text[end - 1].isspace():
+        end -= 1
+    gap = text.count("\n", end, start)
+    if text.endswith("*/", 0, end) and gap <= 1:
+        begin = text.find("/*", text.rfind("*/", 0, end - 2) + 1, end - 2)
+        while begin > 0 and text[text.rfind("\n", 0, begin) + 1 : begin].strip():  # within a line of code, or of the comment
+            begin = text.find("/*", begin + 2, end - 2)
+        begin = text.rfind("/*", 0, end - 2) if begin < 0 else begin
+    else:
+        begin = end
+        while gap <= 2 and begin > 0 and re.match(r"[ \t]*(?://|#|--)", text[(line := text.rfind("\n", 0, begin) + 1) : begin]):
+            begin = line - 1
+        begin = -1 if begin == end else begin + 1
+    if begin < 0:
         return None
-    lines = [re.sub(r"^\s*(?:/\*+!?|\*+/|\*|//[/!]?|#+!?|--+)\s?|\s*\*+/\s*$", "", x) for x in m[1].strip().split("\n")]
+    lines = [re.sub(r"^\s*(?:/\*+!?|\*+/|\*|//[/!]?|#+!?|--+)\s?|\s*\*+/\s*$", "", x) for x in text[begin:end].strip().split("\n")]
     return "\n".join(lines).strip() or None
 
 

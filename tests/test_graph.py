@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from latticework.operators import graph, mro, resolve
+from latticework.operators import graph, mro, resolve, search
 
 
 def edges(spark, pairs, kind="calls"):
@@ -98,6 +99,36 @@ def test_c3_agrees_with_python():
             assert mro.linearise(name, bases) == ([c.__name__ for c in cls.__mro__[:-1]], False), sound
 
 
+def test_a_chain_of_150_classes_keeps_all_ancestors(spark):
+    b = spark.createDataFrame([(f"c{i:03}", [f"c{i - 1:03}"] if i else []) for i in range(150)], "class_id string, bases array<string>")
+    top = mro.orders(b).where("class_id = 'c149'").first()
+    assert top.mro == [f"c{i:03}" for i in reversed(range(150))] and not top.mro_error
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    from latticework.functions.text import cosine
+
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60)] + [(60 + i, [1.0, 2.0, 2.0]) for i in range(5)] + [(70, None), (71, [0.0, 0.0, 0.0]), (72, [1.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(search, "QUERIES", 4)
+    monkeypatch.setattr(search, "ROWS", 7)
+    got = search.nearest(v.where("id % 7 = 0"), v, 8).collect()
+    pairs = v.where("id % 7 = 0").toDF("query", "e").crossJoin(v).withColumn("s", cosine(F.col("embedding"), F.col("e"))).collect()
+    for q in {r.query for r in pairs}:
+        want = sorted((-round(r.s or 0.0, 9), r.id) for r in pairs if r.query == q)[:8]
+        found = sorted((-r.similarity, r.id) for r in got if r.query == q)
+        assert [i for _, i in found] == [i for _, i in want] and [x for x, _ in found] == pytest.approx([x for x, _ in want], abs=1e-8)
+    assert search.nearest(v.limit(0), v).count() == 0 and search.nearest(v, v.limit(0)).count() == 0
+
+
+def test_suffix_shared_by_many_modules(spark):
+    m = spark.range(20_000).selectExpr("cast(id as string) as id", "concat('p', id, '/utils.py') as path")
+    w = spark.range(2_000).selectExpr("cast(id as string) as key", "if(id % 2 = 0, 'utils', concat('p', id, '.utils')) as dotted")
+    got = dict(resolve.longest_suffix(w, m).collect())
+    assert len(got) == 2_000 and all(got[str(i)] == (str(i) if i % 2 else "0") for i in range(2_000))
+
+
 def test_suffixes_need_a_folder_border(spark):
     m = spark.createDataFrame([("1", "lib/xutils.py"), ("2", "lib/utils.py"), ("3", "app/lib/utils.ts"), ("4", "pkg/__init__.py"), ("5", "src/ui/card.ts")], "id string, path string")
     w = spark.createDataFrame([("a", "utils"), ("b", "app.lib.utils"), ("c", "other.utils"), ("d", "pkg"), ("e", "missing"), ("f", "@/ui/card"), ("g", None)], "key string, dotted string")

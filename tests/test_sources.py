@@ -185,6 +185,16 @@ BRACES = {
 }
 
 
+@pytest.mark.parametrize("above, doc", [
+    ("/** Opens. */\n", "Opens."), ("/// One.\n/// Two.\n", "One.\nTwo."), ("/* old */\n\n\n", None), ("// a\n\n", "a"), ("// a\n\n\n", None), ("int x;\n", None), ("/* one */\nint y;\n/* two */\n", "two"),
+    ('p = "src/*.js";\n/** doc */\n', "doc"), ("/** of a/*.js */\n", "of a/*.js"), ("/**\n" + " * a long comment\n" * 500 + " */\n", "a long comment\n" * 499 + "a long comment"),
+])
+def test_comments_above_a_declaration(above, doc):
+    from latticework.sources import brace_source
+
+    assert brace_source._doc(above + "void f() {}", len(above)) == doc
+
+
 def test_brace_languages_become_the_same_units(spark):
     from latticework.sources import brace_source
 

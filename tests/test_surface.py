@@ -4,7 +4,7 @@ import subprocess
 
 import pytest
 
-from latticework import cli, config, queries
+from latticework import cli, config, queries, render
 from latticework.cache import QueryCache
 from latticework.sources import git
 
@@ -42,8 +42,13 @@ def test_cache(spark):
     assert c.misses == 3 and c.hit_rate == 0.25
     get(4)
     assert len(c.kept) == 2
-    with pytest.raises(ValueError):
-        get(10_001)
+    assert sum(1 for _ in get(10_001)) == 10_001 and len(c.kept) == 2  # all rows, not kept
+
+
+def test_a_cut_is_told(spark):
+    df = spark.range(51).selectExpr("id", "concat('a', id) as src", "concat('b', id) as dst", "'calls' as kind")
+    assert render.markdown(df.where("id < 50")).count("\n") == 51 and render.markdown(df).endswith("\n\n50 of 51 rows") and render.markdown(df, None).count("\n") == 52
+    assert render.mermaid(df, 50).endswith("%% 50 of 51 edges") and "// 50 of 51 edges" in render.dot(df, most=50) and render.mermaid(df, None).count("-->") == 51
 
 
 def test_git(spark, tmp_path):

@@ -5,7 +5,11 @@ displace: n keys, n slots, one displacement a bucket) tells whether the whole
 pre-token is in the vocabulary, and its id.  Tier two, for misses: the bytes
 form a linked list, a heap holds the mergeable neighbours by rank, and the
 lowest rank merges until none is left, in O(n log n) for a pre-token of any
-length.  Answers are memoised for a bounded number of strings a worker.
+length; those of FEW bytes at most merge in the same order by a plain list,
+which is faster there.  Answers are memoised for a bounded number of strings a
+worker: of two generations of MEMO strings the older one is dropped when the
+younger is full, so strings that come again stay, whatever came first.  Texts
+are taken ROWS at a time.
 
 The vocabulary is read once on the driver from a path that is a parameter and
 is broadcast: its size is that of the file, whatever the data.
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, arrow_map
+from .common import MASK64, arrow_map, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: No vocabulary of more bytes than this is broadcast.
@@ -40,7 +44,8 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 #: No pre-token crosses the border of these pieces.
 _WS = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))  # the pattern's \s
 PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-MEMO = 400_000
+#: Strings of a generation of the memo; rows that are held as tokens at once; bytes of a pre-token that needs no heap.
+MEMO, ROWS, FEW = 100_000, 256, 48
 K1, K2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -123,6 +128,22 @@ class Tokenizer:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token that isn't in the vocabulary."""
+        return self._few(piece) if len(piece) <= FEW else self._many(piece)
+
+    def _few(self, piece: bytes) -> list[int]:
+        rank, never = self.ranks.get, 1 << 62
+        at = list(range(len(piece) + 1))
+        pair = [rank(piece[i : i + 2], never) for i in at[:-2]]
+        while pair and (low := min(pair)) != never:
+            i = pair.index(low)
+            del pair[i], at[i + 1]
+            if i < len(pair):
+                pair[i] = rank(piece[at[i] : at[i + 2]], never)
+            if i:
+                pair[i - 1] = rank(piece[at[i - 1] : at[i + 1]], never)
+        return [self.ranks[piece[i:j]] for i, j in zip(at, at[1:])]
+
+    def _many(self, piece: bytes) -> list[int]:
         rank, n = self.ranks.get, len(piece)
         end = list(range(1, n + 1))  # end[i]: where the symbol that starts at i ends; 0 once it is merged away
         before = list(range(-1, n))
@@ -175,11 +196,16 @@ class Tokenizer:
 class _Memo(dict):
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
-        if len(self) < MEMO and len(key) < 100:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 100:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
 
@@ -199,7 +225,7 @@ def _encoder(shared):
 
     def run(batches):
         t = shared.value
-        for b in batches:
+        for b in pieces(batches, ROWS):
             ids, sizes, parts, exact, null = b.column(0), [], [], [], []
             for text in b.column(1).to_pylist():
                 null.append(text is None)

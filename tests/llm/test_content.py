@@ -375,6 +375,29 @@ def test_long_pre_tokens_are_merged_alike(tokenizer, monkeypatch):
     assert [tokenizer.merge(x) for x in pieces] == want
 
 
+def test_short_pre_tokens_are_merged_as_by_the_heap(tokenizer):
+    for x in (t.encode()[:48] for t in texts()):
+        assert tokenizer.merge(x) == tokenizer._many(x)
+
+
+def test_bpe_memory_is_bounded_and_late_strings_are_remembered(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "MEMO", 10)
+    made = []
+    memo = bpe._Memo(lambda k: made.append(k) or (len(k),))
+    for k in [*map(str, range(100)), "late", *map(str, range(5)), "late"]:
+        memo[k]
+    assert made.count("late") == 1 and len(memo) + len(memo.old) <= 20
+
+    class Shared:
+        value = tokenizer
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(["some text"] * 3000)], names=["doc_id", "text"])
+    sizes = [b.num_rows for b in bpe._encoder(Shared)([batch])]
+    assert sum(sizes) == 3000 and max(sizes) <= 256
+
+
 def test_bpe_round_trip_on_odd_inputs(make):
     docs = [(1, None), (None, "a b"), (2, ""), (3, "same"), (3, "same"), (4, "long " * 100_000), *((10 + i, t) for i, t in enumerate(texts()[:50]))]
     out = bpe.encoded(make(docs, extra=True))

@@ -42,14 +42,15 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, lowered
+from .common import arrow_map, lowered, pieces
 
 TRAIN_DOCS, LANGUAGE_DOCS, MIN_DOCS = 4_000, 50, 5
 #: Of the letters of a language's rows that a script must hold for the language to be written in it.
 MIN_SHARE = 0.1
 PENALTY, CLIP, OTHER = 16.0, 6.0, -8.0
 MIN_CONFIDENCE = 0.5
-MEMO = 200_000
+#: Words whose scores are kept, and words that are looked up at once; rows that are held as texts at once.
+MEMO, STEP, ROWS = 200_000, 1 << 14, 1024
 def _runs(codes: list[int]) -> list[tuple[int, int]]:
     """First and last of each run of successive numbers."""
     cut = [i for i in range(1, len(codes)) if codes[i] != codes[i - 1] + 1]
@@ -176,11 +177,11 @@ class Model:
 
 
 class _Scores(dict):
-    """word -> row of a growing score table; the rows of new words are filled together."""
+    """word -> row of a score table of fixed size; the rows of new words are filled together."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.table, self.new = model, np.zeros((1024, len(model.languages)), np.float32), []
+        self.model, self.table, self.new = model, np.zeros((MEMO + STEP, len(model.languages)), np.float32), []
 
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -188,6 +189,8 @@ class _Scores(dict):
         return n
 
     def of(self, words: list[str]) -> np.ndarray:
+        if len(words) > STEP:
+            return np.concatenate([self.of(words[i : i + STEP]) for i in range(0, len(words), STEP)])
         if len(self) > MEMO:
             self.clear()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -198,8 +201,6 @@ class _Scores(dict):
     def _fill(self):
         first, words = len(self) - len(self.new), self.new
         self.new = []
-        while len(self) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[first : first + len(words)] = self.model.score(words)
 
 
@@ -312,7 +313,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         scores = _Scores(shared.value)
-        for b in batches:
+        for b in pieces(batches, ROWS):
             found = [identify(x, scores) for x in b.column(1).to_pylist()]
             spans = [[{"start": a, "end": e, "lang": k} for a, e, k in f[3]] for f in found]
             cols = [pa.array([f[i] for f in found], schema.field(i + 1).type) for i in range(3)]
@@ -321,15 +322,18 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SPAN)
 
 
-def accepted(docs: DataFrame, model: Model | None = None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """docs with a known language of at least min_confidence; all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
-
+def _accepts(shared, min_confidence: float):
     def run(batches):
         scores = _Scores(shared.value)
-        for b in batches:
+        for b in pieces(batches, ROWS):
             texts = b.column("text").to_pylist()
             found = [identify(x, scores) for x in texts]
             yield b.filter(pa.array([f[1] >= min_confidence if f[0] != "und" else f[2] > 0 and untold(x, scores.model) for x, f in zip(texts, found)], pa.bool_()))
 
-    return arrow_map(docs, run, docs.schema)
+    return run
+
+
+def accepted(docs: DataFrame, model: Model | None = None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """docs with a known language of at least min_confidence; all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    return arrow_map(docs, _accepts(shared, min_confidence), docs.schema)

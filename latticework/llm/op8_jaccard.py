@@ -384,6 +384,16 @@ def _grams(n: int):
     return run
 
 
+def wanted_grams(text: DataFrame, wanted: DataFrame, n: int = N) -> DataFrame:
+    """(node, grams) of the wanted texts.
+
+    The join shuffles, however small it is: text comes out of Python, and a broadcast would have both steps in one
+    task, with two workers, which an executor then keeps and takes in turn.
+    """
+    met = text.join(wanted.hint("merge"), (F.col("doc") == F.col("_lw_doc")) & (F.col("hash") == F.col("_lw_text")))
+    return arrow_map(met.select("node", "text"), _grams(n), "node long, grams binary")
+
+
 def linked(docs: DataFrame, t: float = T, n: int = N) -> tuple[DataFrame, DataFrame]:
     """((doc_id, text_hash, node) of documents with words, (node, links, root) of sets with links)."""
     sig = stored(signatures(docs, n), "op8-signatures")
@@ -395,7 +405,7 @@ def linked(docs: DataFrame, t: float = T, n: int = N) -> tuple[DataFrame, DataFr
     text = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text").where("doc is not null and text is not null")
     wanted = stored(wanted, "op8-wanted")
     text = Bloom(wanted, "_lw_doc", "_lw_text").rows(text, [F.col("doc"), F.col("hash")])
-    grams = arrow_map(text.join(wanted, (F.col("doc") == F.col("_lw_doc")) & (F.col("hash") == F.col("_lw_text"))).select("node", "text"), _grams(n), "node long, grams binary")
+    grams = wanted_grams(text, wanted, n)
     each = alive.drop("size").join(grams, "node").repartition(*KEY).sortWithinPartitions(*KEY)
     links = stored(arrow_map(each.select("leader", "lo", "hi", "side", "before", "node", "grams"), _exact(t), LINKS), "op8-links")
     return named.select("doc_id", "text_hash", "node"), classes(links)

@@ -6,9 +6,11 @@ import re
 import string
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -262,6 +264,20 @@ JA, ZH = "東京の学校で日本語を勉強しています 図書館 電車 
 SAMPLES = {"bn": "বাংলা ভাষায় লেখা একটি বাড়ি", "ta": "தமிழ் மொழியில் எழுதிய வீடு", "te": "తెలుగు భాషలో రాసిన ఇల్లు", "gu": "ગુજરાતી ભાષામાં ઘર", "ka": "ქართული ენა და სახლი", "hy": "հայերեն լեզու և տուն", "am": "የአማርኛ ቋንቋ ቤት", "km": "ភាសាខ្មែរ ផ្ទះ", "ja": "日本語を話します"}
 
 
+def test_languages_hold_a_slice_of_rows_and_a_table_of_fixed_size(model, monkeypatch):
+    words = [a + b + c for a in "abcdefgh" for b in "aeiou" for c in "nrst"]
+    whole = lan._Scores(model).of(words)
+    batch = pa.record_batch({"doc_id": list(range(100)), "text": [EN, FR, "", EN, RU] * 20})
+    for name, x in (("MEMO", 20), ("STEP", 8), ("ROWS", 7)):
+        monkeypatch.setattr(lan, name, x)
+    scores = lan._Scores(model)
+    for _ in range(3):
+        assert np.array_equal(scores.of(words), whole) and len(scores.table) == 28
+    out = list(lan._accepts(SimpleNamespace(value=model), 0.5)([batch]))
+    assert max(b.num_rows for b in out) <= 7
+    assert [x for b in out for x in b.column("doc_id").to_pylist()] == [i for i in range(100) if i % 5 != 2]
+
+
 def test_every_script_has_a_language(model):
     for lang, text in SAMPLES.items():
         got = lan.identify(text, lan._Scores(model))

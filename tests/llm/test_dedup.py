@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latticework.llm import op3_substring as sub
 from latticework.llm import op6_syncmers as syn
@@ -133,6 +134,17 @@ def test_jaccard_one_id_on_two_texts(make, turned):
     assert sorted((r.doc_id, r.text) for r in jac.keep_one(make(docs)).collect()) == [(1, a), (5, b)]
 
 
+def test_wanted_texts_are_shuffled_however_few(spark):
+    text = spark.range(1).selectExpr("id as doc", "id + 2 as hash", "'a b c d' as text")
+    wanted = spark.range(1).selectExpr("id + 7 as node", "id as _lw_doc", "id + 2 as _lw_text")
+    on = (F.col("doc") == F.col("_lw_doc")) & (F.col("hash") == F.col("_lw_text"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(text.join(wanted, on).select("node", "text"))
+    got = jac.wanted_grams(text, wanted)
+    assert "SortMergeJoin" in plan(got) and "Broadcast" not in plan(got)
+    assert [(r.node, bytes(r.grams)) for r in got.collect()] == [(7, jac.ngrams("a b c d").tobytes())]
+
+
 def test_keep_one_of_rows_equal_in_id_and_text(make):
     df = make([(1, "a b c d"), (2, "e f g h")]).unionByName(make([(1, "a b c d")], source="t"))
     kept = [sorted(map(tuple, jac.keep_one(x).collect())) for x in (df, df.orderBy("source"), df.orderBy("source", ascending=False))]

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows for a task that holds all it reads, such as one that drops repeated rows: some 100 bytes each, twice.
+ROWS = 500_000
 _ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
 
@@ -45,6 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by hash of keys, in so many partitions that each has about ROWS of its rows (rows: how many there are at most).
+
+    Adaptive execution sizes partitions by compressed bytes and up to the number of shuffle partitions only; it leaves these
+    as they are.  Where the cores alone make tasks that small, df is returned as it is.
+    """
+    n = -(-rows // ROWS)
+    return df if n <= df.sparkSession.sparkContext.defaultParallelism else df.repartition(n, *keys)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, executors may be lost."""
     spark = df.sparkSession

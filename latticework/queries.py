@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import resolve_units
+from .cluster import spread
 from .functions import text as tx
 from .operators import diff, graph, mro, resolve, rules, search, temporal
 from .plans.query import run, with_joins
@@ -52,13 +53,18 @@ def contains_edges(spark: SparkSession, d: str) -> DataFrame:
     return pair(n, "region:", "n_regionkey", "nation:", "n_nationkey").unionByName(pair(c, "nation:", "c_nationkey", "customer:", "c_custkey")).unionByName(pair(s, "nation:", "s_nationkey", "supplier:", "s_suppkey"))
 
 
+# Pairs are spread by their part alone: a part is then counted in one task, not once in each.
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").distinct()
+    o, li = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    rows = li.count()
+    ordered = spread(o, rows, "o_orderkey").join(spread(li, rows, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = spread(ordered.select("o_custkey", "l_partkey"), rows, "l_partkey").distinct()
     return pairs.select(F.concat(F.lit("customer:"), "o_custkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst"), F.lit("calls").alias("kind"))
 
 
 def import_edges(spark: SparkSession, d: str) -> DataFrame:
-    pairs = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    pairs = spread(li, li.count(), "l_partkey").distinct()
     return pairs.select(F.concat(F.lit("supplier:"), "l_suppkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst"), F.lit("imports").alias("kind"))
 
 

@@ -3,8 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from latticework import cluster, queries
 from latticework.operators import graph, mro, resolve, search
 
+from .oracle import compare
+
 
 def edges(spark, pairs, kind="calls"):
     return spark.createDataFrame([(a, b, kind) for a, b in pairs], "src string, dst string, kind string")
@@ -83,6 +86,14 @@ def test_unresolved_and_degrees(spark):
     assert got == {"a": (0, 1, []), "b": (2, 0, ["a", "c"]), "c": (0, 1, [])}
 
 
+def test_tasks_that_drop_repeated_pairs_grow_in_number_not_in_size(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(cluster, "ROWS", 200, raising=False)
+    for of in (queries.call_edges, queries.import_edges):
+        each = of(spark, sf_dir).groupBy(F.spark_partition_id().alias("at")).count().collect()
+        assert len(each) > 20 and max(r["count"] for r in each) < 600  # of 6,000 rows in 30 partitions
+    compare(spark, queries.QUERIES["graph_stats"], queries.SQL["graph_stats"], sf_dir)
+
+
 def test_c3_agrees_with_python():
     rng = random.Random(0)
     for _ in range(300):
